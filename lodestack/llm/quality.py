@@ -29,11 +29,11 @@ RULES: list[tuple[str, str]] = [
     ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 16 * n_words"),
-    ("upper_case", "2 * n_upper > n_letters AND n_letters > 0"),
+    ("upper_case", "2 * n_upper > word_chars"),
     ("exclamations", "5 * n_exclaim > n_words"),
 ]
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_exclaim"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim"]
 
 
 @dataclass(frozen=True)
@@ -47,8 +47,7 @@ BASE = Policy("base-1", BIT["few_words"] | BIT["repeated_words"])
 STRICT = Policy("strict-1", (1 << len(RULES)) - 1)
 
 
-def _count(text: Column, letters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, letters, ""))
+INDEX_BITS = 20  # a window's place in its document, in the low bits of its sort key
 
 
 def _let(value: Column, body) -> Column:
@@ -56,42 +55,68 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _covered(starts: Column) -> Column:
+    """Words in windows at these ascending starts: a window adds its words up to the next window's start."""
+    return F.aggregate(F.transform(starts, lambda i, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(starts, k + 1) - i, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def _repeat_words(words: Column) -> Column:
-    """Words covered by a 3-word window that occurs twice or more: sorting windows by content puts equal ones side by side."""
+    """Words covered by a 3-word window that occurs twice or more.
+
+    Windows are 64-bit hashes; sorting brings equal ones together. The sort key is the hash's upper 44 bits and the
+    window's place, a plain long; where two different hashes share those bits, or a document has more windows than
+    places, the pairs of whole hash and place are sorted instead.
+    """
+    low = (1 << INDEX_BITS) - 1
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    place = lambda p: p.bitwiseAND(F.lit(low))
+
+    def from_hashes(h: Column) -> Column:
+        keys = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
 
-    def windows(w: Column) -> Column:  # a window is compared as its words joined by a space, which no word holds
-        of = lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i"))
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), of))
+        def from_keys(v: Column) -> Column:
+            upper = lambda p: F.shiftright(p, INDEX_BITS)
+            twice = F.filter(v, lambda p, k: F.coalesce(upper(p) == upper(F.get(v, k - 1)), F.lit(False)) | F.coalesce(upper(p) == upper(F.get(v, k + 1)), F.lit(False)))
 
-    def starts(v: Column) -> Column:
-        twice = lambda x, k: F.when((x["w"] == F.get(v, k - 1)["w"]) | (x["w"] == F.get(v, k + 1)["w"]), x["i"])
-        return F.sort_array(F.filter(F.transform(v, twice), lambda i: i.isNotNull()))
+            def from_twice(t: Column) -> Column:
+                whole = lambda p: F.get(h, place(p).cast("int"))
+                mixed = F.exists(F.transform(t, lambda p, k: (k > 0) & (upper(p) == upper(F.get(t, k - 1))) & (whole(p) != whole(F.get(t, k - 1)))), lambda x: F.coalesce(x, F.lit(False)))
+                return F.when(mixed, _let(exact(h), _covered)).otherwise(_let(F.sort_array(F.transform(t, place)), _covered))
 
-    def covered(s: Column) -> Column:  # a window adds its words up to the next window's start
-        return F.aggregate(F.transform(s, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(s, k + 1) - i, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
+            return _let(twice, from_twice)
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(_let(_let(words, windows), starts), covered))
+        return F.when(F.size(h) > low, _let(exact(h), _covered)).otherwise(_let(keys, from_keys))
+
+    def exact(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
+        same = lambda v: F.sort_array(F.transform(F.filter(v, lambda x, k: F.coalesce(x["h"] == F.get(v, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(v, k + 1)["h"], F.lit(False))), lambda x: x["i"]))
+        return _let(pairs, same)
+
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(_let(words, hashes), from_hashes))
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and MEASURES for each row of docs."""
     text = F.col("text")
-    base = id_text(docs).select(
+    parts = id_text(docs).select(
         "doc_id",
-        F.filter(F.split(text, SPACE), lambda w: w != "").alias("words"),
+        F.array_remove(F.split(text, SPACE), "").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
-        _count(text, SYMBOLS).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
-        F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
-        _count(text, "!").cast("long").alias("n_exclaim"),
+        F.regexp_replace(text, r"[^#*$%&|<>!\p{Lu}]+", "").alias("marks"),
     )
-    return base.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+    long = lambda c: c.cast("long")
+    only = lambda letters: long(F.length(F.regexp_replace("marks", letters, "")))
+    return parts.select(
+        "doc_id",
+        long(F.size("words")).alias("n_words"),
+        long(F.length(F.array_join("words", ""))).alias("word_chars"),
+        only(r"[!\p{Lu}]+").alias("n_symbols"),
+        long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         _repeat_words(F.col("words")).alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"), "n_letters", "n_upper", "n_exclaim",
-    )
+        long(F.size("lines")).alias("n_lines"),
+        only(r"[^\p{Lu}]+").alias("n_upper"),
+        only(r"[^!]+").alias("n_exclaim"),
+    )
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -126,7 +151,7 @@ def ablations(kept_ledger: DataFrame, policy: Policy = STRICT) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = verdicts(ledger(documents(spark, sf_dir)))
-    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "n_lines", "n_letters", "n_upper", "n_exclaim")
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "n_lines", "n_upper", "n_exclaim")
 
 
 ORACLE_SQL = r"""
@@ -135,9 +160,11 @@ WITH base AS (
            list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
     FROM documents
+), numbered AS (
+    SELECT doc_id, unnest(list_zip(words[:-3], words[2:-2], words[3:])) AS w, unnest(range(1, len(words) - 1)) AS i
+    FROM base WHERE len(words) > 3
 ), windows AS (
-    SELECT doc_id, i, words[i:i + 2] AS w, count(*) OVER (PARTITION BY doc_id, words[i:i + 2]) AS n
-    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM base)
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM numbered
 ), covered AS (
     SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
     FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id
@@ -148,7 +175,6 @@ WITH base AS (
            CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
            coalesce(n_repeat_words, 0) AS n_repeat_words,
            CAST(len(lines) AS BIGINT) AS n_lines,
-           CAST(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS BIGINT) AS n_letters,
            CAST(length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS BIGINT) AS n_upper,
            CAST(length(regexp_replace(text, '[^!]+', '', 'g')) AS BIGINT) AS n_exclaim
     FROM base LEFT JOIN covered USING (doc_id)
@@ -157,11 +183,11 @@ WITH base AS (
            CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT)
            + 4 * CAST(10 * n_symbols > n_words AS BIGINT) + 8 * CAST(10 * n_dup_lines > 3 * n_lines AS BIGINT)
            + 16 * CAST(word_chars < 2 * n_words AS BIGINT) + 32 * CAST(word_chars > 16 * n_words AS BIGINT)
-           + 64 * CAST(2 * n_upper > n_letters AND n_letters > 0 AS BIGINT)
+           + 64 * CAST(2 * n_upper > word_chars AS BIGINT)
            + 128 * CAST(5 * n_exclaim > n_words AS BIGINT) AS failed
     FROM measured
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed = 0 AS kept,
-       failed, n_lines, n_letters, n_upper, n_exclaim
+       failed, n_lines, n_upper, n_exclaim
 FROM judged
 """
