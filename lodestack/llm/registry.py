@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import decontaminate, langid, packing, pii, planes, quality, secrets, simhash, suffix
+from lodestack.llm import chat, decontaminate, langid, packing, pii, planes, quality, secrets, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bm25_decontamination": decontaminate.query,
+        "op2_hmm_chat_format": chat.query,
         "op3_guess_cost_secrets": secrets.query,
         "op4_hierarchical_language": langid.query,
         "op5_harmonic_packing": packing.query,

@@ -7,7 +7,7 @@ of equal ones): a function of the window's bytes alone, so equal windows have eq
 An anchor owns the consecutive windows that chose it; its context is the text they cover. Only anchors whose gram hash
 occurs twice or more go on. Occurrences with the same context are one class; a class of two or more repeats throughout.
 
-Suffix order. The distinct contexts of each gram that has a class of one are brought together, and the suffixes
+Suffix order. The distinct contexts of each gram that has a class of one (or, to keep first copies, more than one class) are brought together, and the suffixes
 at all windows they own are sorted to depth min_bytes, equal ones by place in the corpus (document, offset). With that, a suffix's previous
 smaller position whose common prefix reaches min_bytes is the suffix just before it, and there is no next one:
 that is its longest previous factor, cut off at min_bytes. It and its match both repeat; it alone is a later copy. A gram
@@ -229,7 +229,7 @@ def _sorted_groups(contexts: DataFrame, min_bytes: int) -> DataFrame:
     return contexts.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(run, _FOUND)
 
 
-def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def repeats(docs: DataFrame, keep: str, min_bytes: int = MIN_BYTES, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc, tie, l): for each row's key the anchors with repeated windows: pack, full (all of them), masks, matches over salts, and whether the row is the first of its class."""
     every = _all_anchors(docs, min_bytes, gram)
     twice = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -237,7 +237,7 @@ def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, group
     classes = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "pack")).alias("rep")), "suffix-classes")
     grams = classes.groupBy("h").agg(F.count("*").alias("n_classes"), F.count(F.when(F.col("n") == 1, 1)).alias("n_single"))
     parts = F.ceil(F.col("n_classes") / group)
-    wanted = classes.join(grams.where("n_classes > 1 AND n_single > 0"), "h").select(
+    wanted = classes.join(grams.where("n_classes > 1" + (" AND n_single > 0" if keep == "none" else "")), "h").select(
         "h", "c", F.pmod(F.xxhash64("c"), parts).cast("int").alias("salt"), (parts > 1).alias("salted"), "rep.doc", "rep.tie", "rep.pack"
     )
     solved = stored(_sorted_groups(_contexts(wanted, _compressed(docs), min_bytes), min_bytes), "suffix-order")
@@ -283,7 +283,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def remove_repeats(docs: DataFrame, keep: str = "first", min_bytes: int = MIN_BYTES, gram: int = GRAM, group: int = GROUP, with_bytes: bool = True) -> DataFrame:
     """A row for each document, of SCHEMA; kept, the bytes that stay, is null unless with_bytes."""
-    marked = _compressed(docs).join(repeats(docs, min_bytes, gram, group), ["doc", "tie"], "left").select("doc_id", "z", "l")
+    marked = _compressed(docs).join(repeats(docs, keep, min_bytes, gram, group), ["doc", "tie"], "left").select("doc_id", "z", "l")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
