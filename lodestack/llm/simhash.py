@@ -185,3 +185,102 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity: wide fingerprints in sorted tables.
+
+WORDS, TABLES, NEIGHBOURS = 4, 32, 8
+_MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+
+
+def wide_fingerprint(text: str, shingle: int) -> np.ndarray:
+    """256 bits: the shingles' hashes and three mixtures of each, every one reduced as in fingerprint()."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(WORDS, np.int64)
+    joined, n = b" ".join(words), len(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    last = min(shingle, n) - 1
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - last].tolist(), ends[last:].tolist())], np.uint64)
+    out = np.zeros(WORDS, np.uint64)
+    for k in range(WORDS):
+        if k:
+            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(_MIX[k - 1])
+            hashes ^= hashes >> np.uint64(29)
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+    return out.view(np.int64)
+
+
+def most_differing_bits(similarity: float) -> int:
+    """Bits of a wide fingerprint that two texts of this Jaccard similarity differ by at most, but for one text in six at the edge."""
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    total = WORDS * BITS
+    return int(total * angle + (total * angle * (1 - angle)) ** 0.5)
+
+
+def similar_links(wide: DataFrame, n: int, similarity: float, tables: int = TABLES, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Links (a, b) between ids of wide (id, w0..w3; distinct fingerprints).
+
+    Each of `tables` tables sorts all fingerprints by about log2(n) bits drawn from the 256, so that a bucket holds one or two unless
+    its texts are alike. A fingerprint is compared with the `neighbours` before it in its bucket; in larger buckets, whose fingerprints are mostly
+    one group of copies, these neighbours differ from table to table and keep the group connected. The sort is by range, which splits
+    any bucket, and nothing is gathered.
+    """
+    width = max(8, int(np.ceil(np.log2(max(n, 2)))) - 1)
+    draw = np.random.default_rng(11)
+    masks = []
+    for _ in range(tables):
+        bits = draw.choice(WORDS * BITS, width, replace=False)
+        masks.append([sum(1 << int(b % BITS) for b in bits if b // BITS == k) for k in range(WORDS)])
+    key = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(*[F.col(f"w{k}").bitwiseAND(F.lit(_signed(m))) for k, m in enumerate(mask)]).alias("key")) for t, mask in enumerate(masks)])
+    keyed = wide.select("id", *[f"w{k}" for k in range(WORDS)], F.explode(key).alias("x")).select("x.t", "x.key", "id", *[f"w{k}" for k in range(WORDS)])
+    most = most_differing_bits(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for batch in batches:
+            now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            rows = now if tail is None else np.vstack([tail, now])
+            fresh, found = len(rows) - len(now), []
+            for shift in range(1, neighbours + 1):
+                a, b = rows[: len(rows) - shift], rows[shift:]
+                same = np.flatnonzero((a[:, 0] == b[:, 0]) & (a[:, 1] == b[:, 1]) & (np.arange(shift, len(rows)) >= fresh))
+                near = np.bitwise_count((a[same, 3:] ^ b[same, 3:]).view(np.uint64)).sum(1, dtype=np.int64) <= most
+                found.append(np.stack([a[same[near], 2], b[same[near], 2]], axis=1))
+            tail = rows[-neighbours:]
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    order = ["t", "key", "w0", "w1", "w2", "w3", "id"]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row, that of the least doc_id (nulls first, then by text hash), of each group of exact and near copies; all columns stay.
+
+    Near copies are texts whose word shingles have about this Jaccard similarity or more, as their wide fingerprints tell it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.stack([wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)]) if len(batch) else np.zeros((0, WORDS), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, k]) for k in range(WORDS)]], ["rid", "tie", "w0", "w1", "w2", "w3"])
+
+    wide = [f"w{k}" for k in range(WORDS)]
+    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked = id_text(docs).select(rid.alias("rid"), tie.alias("tie"), "text").mapInArrow(run, "rid long, tie long, w0 long, w1 long, w2 long, w3 long")
+    groups = stored(marked.groupBy(*wide).agg(F.min(F.struct("rid", "tie")).alias("first")).withColumn("id", F.xxhash64(*wide)), "wide-fingerprints")
+    found = connected(similar_links(groups, groups.count(), similarity), "near-copies")
+    label = groups.join(found, groups["id"] == found["node"], "left").select("first", F.coalesce("component", "id").alias("label"))
+    kept = label.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("_kept_rid"), F.col("first.tie").alias("_kept_tie"))
+    keyed = docs.withColumn("_row_rid", rid).withColumn("_row_tie", tie)
+    held = keyed.join(kept, (keyed["_row_rid"] == kept["_kept_rid"]) & (keyed["_row_tie"] == kept["_kept_tie"]), "left_semi")
+    return held.dropDuplicates(["_row_rid", "_row_tie"]).select(*docs.columns)
