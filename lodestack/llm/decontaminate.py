@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.common import documents, id_text
 
-K1, B, BLOCK, THRESHOLD, SLACK, NGRAM, OVERLAP = 1.2, 0.75, 16, 0.5, 0.1, 5, 0.5
-MAX_INDEX_CHARS, CELLS = 16_000_000, 4_000_000
+K1, B, BLOCK, THRESHOLD, SLACK, NGRAM, OVERLAP = 1.2, 0.75, 4, 0.6, 0.05, 5, 0.5
+MAX_INDEX_CHARS, CELLS, BULK_WORDS = 16_000_000, 1_000_000, 100_000
 _PUNCTUATION = string.punctuation.encode()
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -142,8 +142,8 @@ def find_in_texts(texts: list[str], index: Index, threshold: float = THRESHOLD,
     get, out = index.terms.get, []
     at = 0
     while at < len(texts):
-        known, first, n_passages, split = [], [], 0, []
-        while at < len(texts) and (not known or n_passages * index.n_blocks < CELLS):
+        known, first, n_passages, split, sum_words = False, [], 0, [], 0
+        while at < len(texts) and (not known or (n_passages * index.n_blocks < CELLS and sum_words < BULK_WORDS)):
             words = words_of(texts[at])
             ids = np.array([get(w, -1) for w in words], np.int64)
             first.append((at, n_passages))
@@ -153,7 +153,7 @@ def find_in_texts(texts: list[str], index: Index, threshold: float = THRESHOLD,
             for shift in (0, 1):
                 ok = own >= shift
                 split.append((own[ok] - shift + n_passages, ids[place[ok]]))
-            known.append(len(words))
+            known, sum_words = True, sum_words + len(words)
             n_passages += passages
             at += 1
         width = len(index.terms)

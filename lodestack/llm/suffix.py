@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import documents, id_text, stored
 
 MIN_BYTES, GRAM = 400, 200
-GROUP, SORTED_WINDOWS, SEGMENT = 1000, 100_000, 1 << 22
+GROUP, SORTED_WINDOWS, SEGMENT = 1000, 50_000, 1 << 22
 _DRAW = np.random.default_rng(20_240_229)
 _LETTER = _DRAW.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = int(_DRAW.integers(0, 1 << 63)) * 2 + 1
@@ -169,16 +169,24 @@ def _contexts(wanted: DataFrame, texts: DataFrame, min_bytes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        rows: list[tuple] = []
+
+        def table() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["h", "c", "salt", "salted", "doc", "tie", "pack", "raw"])
+            rows.clear()
+            return out
+
         for batch in batches:
-            rows = []
-            for doc, tie, asked, z in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                raw = expand(z)
-                for x in asked:
+            for doc, tie, asked, z in zip(*batch.columns):
+                raw = expand(z.as_py())
+                for x in asked.as_py():
                     first, owned = _unpacked(x["pack"])
-                    rows.append((x["h"], x["c"], x["salt"], x["salted"], doc, tie, x["pack"], raw[first : first + owned - 1 + min_bytes]))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            columns = zip(*rows) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["h", "c", "salt", "salted", "doc", "tie", "pack", "raw"])
+                    rows.append((x["h"], x["c"], x["salt"], x["salted"], doc.as_py(), tie.as_py(), x["pack"], raw[first : first + owned - 1 + min_bytes]))
+                if len(rows) >= 10_000:
+                    yield table()
+        if rows:
+            yield table()
 
     one = texts.dropDuplicates(["doc", "tie"])  # repeated rows
     return lists.join(one, ["doc", "tie"]).select("doc", "tie", "l", "z").mapInArrow(run, "h long, c long, salt int, salted boolean, doc long, tie int, pack long, raw binary")
@@ -289,8 +297,8 @@ def remove_repeats(docs: DataFrame, keep: str = "first", min_bytes: int = MIN_BY
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for doc_id, z, found in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                raw = expand(z)
+            for doc_id, z, found in zip(*batch.columns):
+                doc_id, raw, found = doc_id.as_py(), expand(z.as_py()), found.as_py()
                 if found:
                     gone = covered(len(raw), found, min_bytes, keep)
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()

@@ -9,6 +9,8 @@ change the ids goes through the library whole.
 from __future__ import annotations
 
 import re
+import unicodedata
+from array import array
 
 import numpy as np
 
@@ -34,63 +36,74 @@ def _byte_letters() -> dict[int, str]:
 
 
 class MemoEncoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit integers. max_entries bounds the memory of each cache."""
+    """encode(text) gives the ids as little-endian unsigned 32-bit integers. max_entries bounds the memory of the remembered words."""
 
-    def __init__(self, path: str, max_entries: int = 400_000):
+    def __init__(self, path: str, max_entries: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = "byte" if self.tokenizer.normalizer is None else "word"
+        self.byte = self.tokenizer.normalizer is None
+        self.space, self.pattern = (" ", _ASCII_PIECES["byte"]) if self.byte else ("", _ASCII_PIECES["word"])
         self.model, self.max_entries = self.tokenizer.model, max_entries
         self.letters = _byte_letters()
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.small = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"  # how remembered ids are held
+        self.known: dict[str, bytes] = {}  # by chunk, without the space before it
+        self.marks = {c: self._piece(c) for c in ".,"}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
+        return array(self.small, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        """piece: a pre-token in byte letters."""
-        found = self.pieces.get(piece)
+        letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return array(self.small, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A word of letters only, which is one pre-token together with the space before it."""
+        found = self.known.get(word)
         if found is None:
-            found = np.array([t.id for t in self.model.tokenize(piece)], ID).tobytes()
-            if len(self.pieces) >= self.max_entries:
-                self.pieces.clear()
-            self.pieces[piece] = found
+            self.known[word] = found = self._piece(self.space + word)
         return found
 
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            text = chunk.lower() if self.kind == "word" else chunk
-            pieces = [p.translate(self.letters) for p in _ASCII_PIECES[self.kind].findall(text)]
+    def _chunk(self, chunk: str, space: str) -> bytes:
+        plain = True
+        if not self.byte:
+            plain = chunk.isascii() or ("\u03a3" not in chunk and unicodedata.is_normalized("NFC", chunk))
+            lower = chunk.lower() if plain else chunk
         else:
-            text = chunk if self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str(chunk)
-            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        return b"".join(map(self._piece, pieces))
-
-    def _cut(self, text: str) -> list[str] | None:
-        if self.kind == "byte":
-            return None if "  " in text or "\x00" in text else text.replace(" ", "\x00 ").split("\x00")
-        return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+            lower = chunk
+        if plain and space == self.space:
+            if lower.isalpha():
+                return self._word(lower)
+            if lower[-1:] in self.marks and lower[:-1].isalpha():
+                return self._word(lower[:-1]) + self.marks[lower[-1]]
+        if chunk.isascii():
+            return b"".join(map(self._piece, self.pattern.findall(space + lower)))
+        text = space + chunk if self.byte else self.tokenizer.normalizer.normalize_str(chunk)
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        return array(self.small, [t.id for piece, _ in pieces for t in self.model.tokenize(piece)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        chunks = self._cut(text)
-        if chunks is None:
-            return self._whole(text)
-        known = self.chunks
-        found = list(map(known.get, chunks))
-        if None in found:
-            if len(known) >= self.max_entries:
-                known.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    chunk = chunks[i]
+        if "  " in text if self.byte else any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            ids = self._whole(text)
+        else:
+            chunks, lead = (text.split(" "), True) if self.byte else (text.split(), False)
+            head = self._chunk(chunks.pop(0), "") if lead else b""  # all chunks but the first come with their space
+            known = self.known
+            found = list(map(known.get, chunks))
+            if None in found:
+                if len(known) >= self.max_entries:
+                    known.clear()
+                at = -1
+                for _ in range(found.count(None)):
+                    at = found.index(None, at + 1)
+                    chunk = chunks[at]
                     ids = known.get(chunk)
                     if ids is None:
-                        known[chunk] = ids = self._chunk(chunk)
-                    found[i] = ids
-        return b"".join(found)
+                        known[chunk] = ids = self._chunk(chunk, self.space)
+                    found[at] = ids
+            ids = head + b"".join(found)
+        return ids if self.small == "I" else np.frombuffer(ids, "<u2").astype(ID).tobytes()
 
 
 _ENCODERS: dict[str, MemoEncoder] = {}
