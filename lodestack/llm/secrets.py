@@ -8,8 +8,7 @@ the fixed patterns' own spans, which always stay. A low score on a fixed pattern
 used to drop it.
 
 Nulls, edges: a null or empty text has no spans; a null doc_id stays null; repeated rows keep a row each; an
-empty table gives no rows. Only the first MAX_VALUE characters of a value are scored (the cost only grows with
-more), spans always cover whole matches.
+empty table gives no rows. Values are scored whole, whatever their length; costs are told up to CEILING.
 """
 
 from __future__ import annotations
@@ -17,9 +16,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,9 @@ CONTEXT = re.compile(
     "(?<![A-Za-z])(?:" + _either_case("password|passwd|passphrase|pwd|pass|secret|token|api[_-]?key|credential|private_?key|client_?secret|auth_?key")
     + ")[\"']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*[\"']?([^\\s\"'<>|,;]{6,})"
 )
-MIN_VALUE, MAX_VALUE, MIN_LOG10 = 6, 64, 10.0
+MIN_VALUE, MIN_LOG10 = 6, 10.0
+CEILING = 64.0  # costs are told up to this one: no guesser comes near
+UNITS, CUT_WALK = (1, 2, 3, 4), 32  # lengths that repeat; a longer walk is taken whole or as its first characters up to CUT_WALK
 
 #: Words that attackers try first, most likely first.
 COMMON_WORDS = (
@@ -58,57 +61,86 @@ _RANK = {w: k + 1 for k, w in enumerate(COMMON_WORDS)}
 _LONGEST = max(map(len, COMMON_WORDS))
 _STEPS = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[1:], row)]}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
-_LOG_FACTORIAL = [math.lgamma(k + 1) / math.log(10) for k in range(MAX_VALUE + 2)]
+_LOG_FACTORIAL = np.array([x for k in range(200) if (x := math.lgamma(k + 1) / math.log(10)) < CEILING])  # more parts reach the ceiling by their order alone
 
 
 def _alphabet(value: str) -> int:
     return max(10, 10 * any(c.isdigit() for c in value) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 33 * any(not c.isalnum() for c in value))
 
 
-def _parts(value: str) -> Iterator[tuple[int, int, float, str]]:
-    """(start, end, log10 guesses, kind) of every part that is cheaper than brute force may be."""
-    n, lower = len(value), value.lower()
-    plain = lower.translate(LEET)
-    for i in range(n):
+class _Parts:
+    """The parts of a value that are cheaper than brute force may be, by where they start."""
+
+    def __init__(self, value: str):
+        self.value, self.n = value, len(value)
+        self.lower = value.lower() if value.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        self.plain = self.lower.translate(LEET)
+        codes = np.fromiter(map(ord, value), np.int32, self.n)
+        self.breaks = {unit: np.flatnonzero(codes[unit:] != codes[:-unit]) for unit in UNITS}  # where the period ends
+        self.turns = np.array([k for k in range(1, self.n) if (self.lower[k - 1], self.lower[k]) not in _STEPS], np.int64)  # where a walk ends
+
+    @staticmethod
+    def _next(places: np.ndarray, at: int, default: int) -> int:
+        k = int(np.searchsorted(places, at))
+        return int(places[k]) if k < len(places) else default
+
+    def at(self, i: int) -> Iterator[tuple[int, float]]:
+        """(end, log10 guesses) of each part that starts at i."""
+        n, lower, plain, value = self.n, self.lower, self.plain, self.value
         for j in range(i + 2, min(n, i + _LONGEST) + 1):
             rank = _RANK.get(plain[i:j])
             if rank:
                 extra = (lower[i:j] != value[i:j]) + (plain[i:j] != lower[i:j])
-                yield i, j, math.log10(rank * 2**extra + 1), "word"
+                yield j, math.log10(rank * 2**extra + 1)
         if found := _DATE.match(value, i):
-            yield i, found.end(), math.log10(365 * 100) if found.end() - i > 4 else 2.0, "date"
-        for unit in (1, 2, 3, 4):
-            j = i + unit
-            while value.startswith(value[i : i + unit], j) and j + unit <= n:
-                j += unit
-            if j >= i + max(3, 2 * unit):
-                yield i, j, math.log10(95) * unit * 0.8 + math.log10((j - i) // unit), "repeat"
-        j = i + 1
-        while j < n and (lower[j - 1], lower[j]) in _STEPS:
-            j += 1
-        for end in range(i + 3, j + 1):
-            yield i, end, math.log10(40 * 2 * (end - i)), "walk"
-
-
-@lru_cache(maxsize=65_536)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of value takes."""
-    value = value[:MAX_VALUE]
+            yield found.end(), math.log10(365 * 100) if found.end() - i > 4 else 2.0
+        for unit in UNITS:
+            if i + 2 * unit > n:
+                break
+            copies = 1 + (self._next(self.breaks[unit], i, n - unit) - i) // unit
+            if copies * unit >= max(3, 2 * unit):
+                yield i + copies * unit, math.log10(95) * unit * 0.8 + math.log10(copies)
+        end = self._next(self.turns, i + 1, n)
+        for j in {*range(i + 3, min(end, i + CUT_WALK) + 1), *([end] if end >= i + 3 else [])}:
+            yield j, math.log10(40 * 2 * (j - i))
+
+
+def cheapest(value: str) -> float:
+    """log10 of the guesses that the cheapest segmentation of value takes, CEILING if it is that or more.
+
+    best[k]: the least cost of the characters so far in k parts; brute[k]: of those, where the last part is brute
+    force, which is one part whatever its length. More characters or parts never cost less, so that places where all is at the
+    ceiling lead nowhere, and the walk along the value ends when no part reaches beyond them.
+    """
     n = len(value)
-    step = math.log10(_alphabet(value))
-    by_end: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, cost, _ in _parts(value):
-        by_end[j].append((i, cost))
-    # best[j][k]: the least cost of value[:j] in k parts; a brute-force span is one part, whatever its length
-    infinite = math.inf
-    best = [[infinite] * (n + 1) for _ in range(n + 1)]
-    brute = [[infinite] * (n + 1) for _ in range(n + 1)]  # of those, the last part is brute force
-    best[0][0] = 0.0
-    for j in range(1, n + 1):
-        for k in range(1, j + 1):
-            brute[j][k] = min(brute[j - 1][k], best[j - 1][k - 1]) + step
-            best[j][k] = min(brute[j][k], min((best[i][k - 1] + cost for i, cost in by_end[j]), default=infinite))
-    return min(best[n][k] + _LOG_FACTORIAL[k] for k in range(n + 1)) if n else 0.0
+    if not n:
+        return 0.0
+    parts, step = _Parts(value), math.log10(_alphabet(value))
+    none = np.full(len(_LOG_FACTORIAL), np.inf)
+    best, brute = none.copy(), none
+    best[0] = 0.0
+    ahead: dict[int, np.ndarray] = {}  # by where they end, costs of segmentations whose last part is not brute force
+    for i in range(n):
+        if (best + _LOG_FACTORIAL).min() >= CEILING:
+            if not ahead:
+                return CEILING
+            best = brute = none
+        else:
+            longer = np.append(np.inf, best[:-1])
+            for j, cost in parts.at(i):
+                ahead[j] = np.minimum(ahead.get(j, none), longer + cost)
+            brute = np.minimum(brute, longer) + step
+            best = brute
+        best = np.minimum(best, ahead.pop(i + 1, none))
+    return min(CEILING, float((best + _LOG_FACTORIAL).min()))
+
+
+_remembered = lru_cache(maxsize=65_536)(cheapest)
+
+
+def guess_cost(value: str) -> float:
+    """cheapest(value), with short values' results remembered."""
+    return _remembered(value) if len(value) <= 128 else cheapest(value)
 
 
 def scan(text: str, min_log10: float = MIN_LOG10) -> tuple[list[tuple[int, int, int]], float | None, int]:
@@ -120,16 +152,17 @@ def scan(text: str, min_log10: float = MIN_LOG10) -> tuple[list[tuple[int, int,
             if m.end(1) - m.start(1) >= MIN_VALUE:
                 spans.append((0, m.start(), m.end()))
                 taken.append(m.span())
-                cost = guess_cost(m[1][:MAX_VALUE])
+                cost = guess_cost(m[1])
                 hardest, weak = max(hardest or 0.0, cost), weak + (cost < min_log10)
     if "AKIA" in text:
         spans += [(1, *m.span()) for m in ACCESS.finditer(text)]
     spans += [(2, *m.span()) for m in HEX.finditer(text)]
     if ":" in text or "=" in text:
         for m in CONTEXT.finditer(text):
-            cost = guess_cost(m[1][:MAX_VALUE])
+            cost = guess_cost(m[1])
             hardest = max(hardest or 0.0, cost)
-            if cost >= min_log10 and not any(a < m.end() and m.start() < b for a, b in taken):
+            k = bisect_right(taken, m.start(), key=lambda x: x[1])  # the first that ends beyond this one's start
+            if cost >= min_log10 and (k == len(taken) or taken[k][0] >= m.end()):
                 spans.append((3, *m.span()))
     return spans, hardest, weak
 

@@ -1,12 +1,15 @@
 """Plain versions of the operators, for small tables: as the contracts word them, one document or one pair at a time."""
 
 import hashlib
+import math
 import re
 import zlib
 
 import numpy as np
 import xxhash
 
+from lodestack.llm import secrets
+
 SECRET_KINDS = ("assign", "access", "hex")
 
 
@@ -28,6 +31,39 @@ def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
 
 
+def guess_cost(value):
+    """log10 guesses of the cheapest of all segmentations of a short value, by number of parts."""
+    lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain, n = lower.translate(secrets.LEET), len(value)
+    pool = 10 * any(map(str.isdigit, value)) + 26 * any(map(str.islower, value)) + 26 * any(map(str.isupper, value)) + 33 * (not all(map(str.isalnum, value)))
+
+    def part(i, j):
+        size, costs = j - i, [(j - i) * math.log10(max(10, pool))]
+        if plain[i:j] in secrets.COMMON_WORDS:
+            rank = secrets.COMMON_WORDS.index(plain[i:j]) + 1
+            costs.append(math.log10(rank * 2 ** ((lower[i:j] != value[i:j]) + (plain[i:j] != lower[i:j])) + 1))
+        found = secrets._DATE.match(value, i)
+        if found and found.end() == j:
+            costs.append(math.log10(36_500) if size > 4 else 2.0)
+        for unit in (1, 2, 3, 4):
+            whole = size // unit
+            if size % unit == 0 and whole > 1 and size >= 3 and value[i : i + unit] * whole == value[i:j] and not value.startswith(value[i : i + unit], j):
+                costs.append(math.log10(95) * unit * 0.8 + math.log10(whole))
+        if size >= 3 and all((a, b) in secrets._STEPS for a, b in zip(lower[i:j], lower[i + 1 : j])):
+            costs.append(math.log10(80 * size))
+        return min(costs)
+
+    best = [{0: 0.0}]
+    for j in range(1, n + 1):
+        now = {}
+        for i in range(j):
+            cost = part(i, j)
+            for k, c in best[i].items():
+                now[k + 1] = min(now.get(k + 1, math.inf), c + cost)
+        best.append(now)
+    return min(c + math.log10(math.factorial(k)) for k, c in best[n].items())
+
+
 def luhn(digits):
     total = 0
     for k, d in enumerate(map(int, reversed(digits))):
