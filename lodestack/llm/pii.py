@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -206,7 +208,10 @@ def scan(text: str, model: Model, threshold: float = THRESHOLD) -> tuple[list[tu
             base.append((KINDS.index(kind), a, b))
         elif model.probability(kind, votes(kind, text, a, b)) >= threshold:
             added.append((KINDS.index(kind), a, b))
-    return base, [s for s in added if not any(s[1] < b and a < s[2] for _, a, b in base)]
+    # base spans by start, each with the furthest end so far: an added span overlaps one if the last that starts before its end reaches it
+    starts = sorted((a, b) for _, a, b in base)
+    ends = list(accumulate((b for _, b in starts), max))
+    return base, [s for s in added if not (k := bisect_left(starts, (s[2],))) or ends[k - 1] <= s[1]]
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
