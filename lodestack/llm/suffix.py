@@ -240,7 +240,8 @@ def _sorted_groups(contexts: DataFrame, min_bytes: int) -> DataFrame:
 def repeats(docs: DataFrame, keep: str, min_bytes: int = MIN_BYTES, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc, tie, l): for each row's key the anchors with repeated windows: pack, full (all of them), masks, matches over salts, and whether the row is the first of its class."""
     every = _all_anchors(docs, min_bytes, gram)
-    twice = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written first: a join of two plain exchanges is one whose hot grams are split at run time
+    twice = stored(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-grams")
     found = stored(every.join(twice, "h"), "suffix-anchors")
     classes = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "pack")).alias("rep")), "suffix-classes")
     grams = classes.groupBy("h").agg(F.count("*").alias("n_classes"), F.count(F.when(F.col("n") == 1, 1)).alias("n_single"))
