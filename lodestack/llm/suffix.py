@@ -254,7 +254,7 @@ def repeats(docs: DataFrame, keep: str, min_bytes: int = MIN_BYTES, gram: int =
     firsts = solved.where("t IS NOT NULL").select("h", "c", "t", "wh", F.struct("doc", "tie", "at").alias("place"))
     met = firsts.groupBy("h", "wh").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
     across = firsts.join(met, ["h", "wh"]).groupBy("h", "c").agg(F.collect_list(F.struct("t", (F.col("place") != F.col("first")).alias("later"))).alias("across"))
-    known = classes.join(masks, ["h", "c"], "left").join(across, ["h", "c"], "left").where("n > 1 OR every IS NOT NULL").select("h", "c", (F.col("n") > 1).alias("full"), "rep", "every", "later", "across")
+    known = stored(classes.join(masks, ["h", "c"], "left").join(across, ["h", "c"], "left").where("n > 1 OR every IS NOT NULL").select("h", "c", (F.col("n") > 1).alias("full"), "rep", "every", "later", "across"), "suffix-known")
     is_first = F.struct("doc", "tie", "pack") == F.col("rep")
     return (
         found.join(known, ["h", "c"])
