@@ -142,3 +142,8 @@ def test_language_rejects_and_keeps(spark):
     assert all(got[r[0]][0] == r[2] for r in rows[:80])
     assert {r.doc_id for r in langid.keep_identified(d, model).collect()} == {r[0] for r in rows[:80]}
     assert langid.identify(d, langid.fit(d.where(F.lit(False)))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_long_runs_of_digits_take_linear_time():
+    text = "7" * 300_000 + ".1.2.3 " + "8" * 300_000 + " 10.0.0.1.9 1.2.3"
+    assert [m.span() for m in pii._IP.finditer(text)] == [(0, 300_006), (600_008, 600_016)]
