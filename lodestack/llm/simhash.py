@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,9 +188,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity: wide fingerprints in sorted tables.
+# Near copies by similarity: wide fingerprints in sorted tables give candidates, their texts' shingles decide.
 
-WORDS, TABLES, NEIGHBOURS = 4, 32, 8
+WORDS, TABLES, NEIGHBOURS, SPREADS = 4, 32, 8, 3
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 
 
@@ -218,22 +219,28 @@ def wide_fingerprint(text: str, shingle: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def shingle_set(text: str, shingle: int) -> frozenset[bytes]:
+    """The text's word shingles as fingerprints see them; a text with fewer words is one shingle, one without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return frozenset(b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))) if words else frozenset()
+
+
 def most_differing_bits(similarity: float) -> int:
-    """Bits of a wide fingerprint that two texts of this Jaccard similarity differ by at most, but for one text in six at the edge."""
+    """Bits of a wide fingerprint that a candidate pair may differ by: those of two texts of this Jaccard similarity, and SPREADS standard deviations."""
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     total = WORDS * BITS
-    return int(total * angle + (total * angle * (1 - angle)) ** 0.5)
+    return int(total * angle + SPREADS * (total * angle * (1 - angle)) ** 0.5)
 
 
 def similar_links(wide: DataFrame, n: int, similarity: float, tables: int = TABLES, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Links (a, b) between ids of wide (id, w0..w3; distinct fingerprints).
+    """Candidate links (a, b) between ids of wide (id, w0..w3; an id for each distinct text).
 
-    Each of `tables` tables sorts all fingerprints by about log2(n) bits drawn from the 256, so that a bucket holds one or two unless
+    Each of `tables` tables sorts all fingerprints by log2(n) - 2 bits drawn from the 256, so that a bucket holds about four unless
     its texts are alike. A fingerprint is compared with the `neighbours` before it in its bucket; in larger buckets, whose fingerprints are mostly
-    one group of copies, these neighbours differ from table to table and keep the group connected. The sort is by range, which splits
-    any bucket, and nothing is gathered.
+    one group of copies, these neighbours differ from table to table (equal fingerprints are in another order in each) and keep the group
+    connected. The sort is by range, which splits any bucket, and nothing is gathered: a text has at most 2 * tables * neighbours links.
     """
-    width = max(8, int(np.ceil(np.log2(max(n, 2)))) - 1)
+    width = max(8, int(np.ceil(np.log2(max(n, 2)))) - 2)
     draw = np.random.default_rng(11)
     masks = []
     for _ in range(tables):
@@ -258,27 +265,63 @@ def similar_links(wide: DataFrame, n: int, similarity: float, tables: int = TABL
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    order = ["t", "key", "w0", "w1", "w2", "w3", "id"]
+    order = ["t", "key", "w0", "w1", "w2", "w3", F.xxhash64("id", "t"), "id"]
     return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (id, z: compressed) have word shingles of this Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        last, ours = None, frozenset()  # rows of one b come together
+
+        for batch in batches:
+            found = []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if b != last:
+                    last, ours = b, shingle_set(expand(y.as_py()).decode("utf-8"), shingle)
+                other = shingle_set(expand(x.as_py()).decode("utf-8"), shingle)
+                both = len(ours & other)
+                if both >= similarity * (len(ours) + len(other) - both) - 1e-9:
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("z").alias("x")), "a")
+    return first.join(texts.select(F.col("id").alias("b"), F.col("z").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row, that of the least doc_id (nulls first, then by text hash), of each group of exact and near copies; all columns stay.
 
-    Near copies are texts whose word shingles have about this Jaccard similarity or more, as their wide fingerprints tell it.
+    Near copies are texts whose sets of word shingles have this Jaccard similarity or more. Wide fingerprints find the candidates, of which
+    every one is verified on its whole texts; texts with the same words (ASCII letters lower-cased) are copies.
     """
+    wide = [f"w{k}" for k in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            found = np.stack([wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)]) if len(batch) else np.zeros((0, WORDS), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, k]) for k in range(WORDS)]], ["rid", "tie", "w0", "w1", "w2", "w3"])
+            texts = [t.as_py() for t in batch.column(2)]
+            found = np.stack([wide_fingerprint(t, shingle) for t in texts]) if texts else np.zeros((0, WORDS), np.int64)
+            same = np.array([xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), 42) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, k]) for k in range(WORDS)], pa.array(same)], ["rid", "tie", *wide, "same"])
+
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress(x.as_py().encode("utf-8")) for x in batch.column(1)], pa.binary())], ["id", "z"])
 
-    wide = [f"w{k}" for k in range(WORDS)]
     rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
-    marked = id_text(docs).select(rid.alias("rid"), tie.alias("tie"), "text").mapInArrow(run, "rid long, tie long, w0 long, w1 long, w2 long, w3 long")
-    groups = stored(marked.groupBy(*wide).agg(F.min(F.struct("rid", "tie")).alias("first")).withColumn("id", F.xxhash64(*wide)), "wide-fingerprints")
-    found = connected(similar_links(groups, groups.count(), similarity), "near-copies")
+    rows = id_text(docs).select(rid.alias("rid"), tie.alias("tie"), "text")
+    marked = rows.mapInArrow(run, "rid long, tie long, w0 long, w1 long, w2 long, w3 long, same long")
+    groups = stored(marked.groupBy(*wide, "same").agg(F.min(F.struct("rid", "tie")).alias("first")).withColumn("id", F.xxhash64(*wide, "same")), "wide-fingerprints")
+    pairs = stored(similar_links(groups, groups.count(), similarity), "near-candidates")
+    asked = groups.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "first.rid", "first.tie")
+    texts = stored(rows.join(asked, ["rid", "tie"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(squeezed, "id long, z binary"), "near-texts")
+    found = connected(verified(pairs, texts, shingle, similarity), "near-copies")
     label = groups.join(found, groups["id"] == found["node"], "left").select("first", F.coalesce("component", "id").alias("label"))
     kept = label.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("_kept_rid"), F.col("first.tie").alias("_kept_tie"))
     keyed = docs.withColumn("_row_rid", rid).withColumn("_row_tie", tie)

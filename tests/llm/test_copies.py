@@ -80,6 +80,26 @@ def test_one_of_each_stays(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*range(11), None, 90], key=str)  # the null id comes first
 
 
+def test_similarity_is_exact(spark):
+    words = prose(90, 3000).split()[:400]
+
+    def changed(n):  # n words apart, each of which changes five shingles of 396
+        out = list(words)
+        for k in range(n):
+            out[10 + 20 * k] += "z"
+        return " ".join(out)
+
+    junk = " ".join(["spam"] * 40)
+    texts = [" ".join(words), changed(8), changed(9), junk, junk + " " + " ".join(prose(91, 60).split()[:12])]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    alike = [len(sets[0] & x) / len(sets[0] | x) for x in sets[1:3]]
+    assert alike[0] > 0.8 > alike[1]
+    kept = simhash.keep_one_of_each(docs(spark, [texts[0], *texts[2:]]))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3]  # alike fingerprints, but not texts
+    kept = simhash.keep_one_of_each(docs(spark, texts[:2]))
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
 @pytest.mark.parametrize("group", [1000, 2])
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_repeats(spark, keep, group):
