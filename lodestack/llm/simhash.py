@@ -195,7 +195,7 @@ _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 
 
 def wide_fingerprint(text: str, shingle: int) -> np.ndarray:
-    """256 bits: the shingles' hashes and three mixtures of each, every one reduced as in fingerprint()."""
+    """256 bits: the distinct shingles' hashes and three mixtures of each, every one reduced as in fingerprint()."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -206,7 +206,7 @@ def wide_fingerprint(text: str, shingle: int) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = min(shingle, n) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - last].tolist(), ends[last:].tolist())], np.uint64)
+    hashes = np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - last].tolist(), ends[last:].tolist())], np.uint64))
     out = np.zeros(WORDS, np.uint64)
     for k in range(WORDS):
         if k:

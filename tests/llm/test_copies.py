@@ -100,6 +100,13 @@ def test_similarity_is_exact(spark):
     assert [r.doc_id for r in kept.collect()] == [0]
 
 
+def test_repeated_lines_do_not_hide_copies(spark):
+    body, line = prose(92, 300), "\n" + " ".join(prose(93, 60).split()[:12])
+    texts = [body + line * 40, body + line * 2]
+    assert simhash.shingle_set(texts[0], 5) == simhash.shingle_set(texts[1], 5)
+    assert [r.doc_id for r in simhash.keep_one_of_each(docs(spark, texts)).collect()] == [0]
+
+
 @pytest.mark.parametrize("group", [1000, 2])
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_repeats(spark, keep, group):
