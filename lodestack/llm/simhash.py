@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import documents, id_text, stored
@@ -188,85 +188,122 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity: wide fingerprints in sorted tables give candidates, their texts' shingles decide.
+# Near copies by similarity: texts that share a rare enough shingle are candidates, their whole shingle sets decide.
 
-WORDS, TABLES, NEIGHBOURS, SPREADS = 4, 32, 8, 3
-_MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+SAMPLE, COMMON = 20_000, 4  # rows sampled for the order of shingles, and from how many of them on a shingle counts as common
+COMMON_KEPT = 200_000  # common shingles that the driver hands out
 
 
-def wide_fingerprint(text: str, shingle: int) -> np.ndarray:
-    """256 bits: the distinct shingles' hashes and three mixtures of each, every one reduced as in fingerprint()."""
+def shingle_set(text: str, shingle: int) -> frozenset[bytes]:
+    """The text's word shingles as fingerprints see them; a text with fewer words is one shingle, one without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return frozenset(b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))) if words else frozenset()
+
+
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The hashes of shingle_set(text), ascending, each once."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(WORDS, np.int64)
+        return np.zeros(0, np.int64)
     joined, n = b" ".join(words), len(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = min(shingle, n) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - last].tolist(), ends[last:].tolist())], np.uint64))
-    out = np.zeros(WORDS, np.uint64)
-    for k in range(WORDS):
-        if k:
-            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(_MIX[k - 1])
-            hashes ^= hashes >> np.uint64(29)
-        ones = np.zeros(BITS, np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
-    return out.view(np.int64)
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - last].tolist(), ends[last:].tolist())], np.uint64).view(np.int64))
 
 
-def shingle_set(text: str, shingle: int) -> frozenset[bytes]:
-    """The text's word shingles as fingerprints see them; a text with fewer words is one shingle, one without words has none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return frozenset(b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))) if words else frozenset()
+def same_words(text: str) -> int:
+    import xxhash
 
+    value = xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), 42)
+    return value - (1 << 64) if value >> 63 else value
 
-def most_differing_bits(similarity: float) -> int:
-    """Bits of a wide fingerprint that a candidate pair may differ by: those of two texts of this Jaccard similarity, and SPREADS standard deviations."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    total = WORDS * BITS
-    return int(total * angle + SPREADS * (total * angle * (1 - angle)) ** 0.5)
 
+def common_shingles(texts: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) and counts of shingles that many of the texts (tie, text; n of them) hold, by a sample of about SAMPLE texts.
+
+    They only order shingles: any order gives the same pairs, a good one fewer candidates.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(t.as_py(), shingle) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["s"])
+
+    sampled = texts.where(F.pmod(F.xxhash64("tie"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+    counts = sampled.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
+    rows = counts.orderBy(F.desc("c"), "s").limit(COMMON_KEPT).toArrow()
+    s, c = (rows.column(k).to_numpy().astype(np.int64) for k in ("s", "c"))
+    order = np.argsort(s)
+    return s[order], c[order]
 
-def similar_links(wide: DataFrame, n: int, similarity: float, tables: int = TABLES, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Candidate links (a, b) between ids of wide (id, w0..w3; an id for each distinct text).
 
-    Each of `tables` tables sorts all fingerprints by log2(n) - 2 bits drawn from the 256, so that a bucket holds about four unless
-    its texts are alike. A fingerprint is compared with the `neighbours` before it in its bucket; in larger buckets, whose fingerprints are mostly
-    one group of copies, these neighbours differ from table to table (equal fingerprints are in another order in each) and keep the group
-    connected. The sort is by range, which splits any bucket, and nothing is gathered: a text has at most 2 * tables * neighbours links.
+def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
+    """Rows (s, id, n, pos): the first shingles of each text (text) in the order of common_shingles, uncommon ones first by hash.
+
+    n distinct shingles give n - ceil(similarity * n) + 1 rows: two texts of that similarity share one of them.
     """
-    width = max(8, int(np.ceil(np.log2(max(n, 2)))) - 2)
-    draw = np.random.default_rng(11)
-    masks = []
-    for _ in range(tables):
-        bits = draw.choice(WORDS * BITS, width, replace=False)
-        masks.append([sum(1 << int(b % BITS) for b in bits if b // BITS == k) for k in range(WORDS)])
-    key = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(*[F.col(f"w{k}").bitwiseAND(F.lit(_signed(m))) for k, m in enumerate(mask)]).alias("key")) for t, mask in enumerate(masks)])
-    keyed = wide.select("id", *[f"w{k}" for k in range(WORDS)], F.explode(key).alias("x")).select("x.t", "x.key", "id", *[f"w{k}" for k in range(WORDS)])
-    most = most_differing_bits(similarity)
+    hashes, counts = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        seen = set()  # exact copies in one task are written once
         for batch in batches:
-            now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            rows = now if tail is None else np.vstack([tail, now])
-            fresh, found = len(rows) - len(now), []
-            for shift in range(1, neighbours + 1):
-                a, b = rows[: len(rows) - shift], rows[shift:]
-                same = np.flatnonzero((a[:, 0] == b[:, 0]) & (a[:, 1] == b[:, 1]) & (np.arange(shift, len(rows)) >= fresh))
-                near = np.bitwise_count((a[same, 3:] ^ b[same, 3:]).view(np.uint64)).sum(1, dtype=np.int64) <= most
-                found.append(np.stack([a[same[near], 2], b[same[near], 2]], axis=1))
-            tail = rows[-neighbours:]
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    order = ["t", "key", "w0", "w1", "w2", "w3", F.xxhash64("id", "t"), "id"]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+            out = []
+            for t in batch.column(0):
+                text = t.as_py()
+                name = same_words(text)
+                if name in seen:
+                    continue
+                seen.add(name)
+                found = shingle_hashes(text, shingle)
+                n = len(found)
+                if not n:
+                    continue
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+                    found = found[np.argsort(np.where(hashes[at] == found, counts[at], 0), kind="stable")]
+                first = found[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                out.append((first, np.full(len(first), name), np.full(len(first), n), np.arange(len(first))))
+            columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["s", "id", "n", "pos"])
+
+    return texts.select("text").mapInArrow(run, "s long, id long, n int, pos int")
+
+
+def _may_be_near(a: str, b: str, similarity: float):
+    """Whether two rows of one shingle, the first that their texts share, leave room for the overlap that the similarity takes."""
+    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
+    return left >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (similarity / (1 + similarity)) - 1e-6
+
+
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(f"{a}.id", f"{b}.id").alias("a"), F.greatest(f"{a}.id", f"{b}.id").alias("b")).distinct()
+
+
+def centre_pairs(live: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b): for each shingle of live (s, id, n, pos, c: its texts) its most shared text against all others, linear in the rows.
+
+    The most shared text has the largest mean log of c, so that the hub of many copies is met by all of them.
+    """
+    shared = live.groupBy("id").agg((F.sum(F.log2("c")) / F.max("n")).alias("share"))
+    rows = live.join(shared, "id")
+    centre = rows.groupBy("s").agg(F.max(F.struct("share", "id", "n", "pos")).alias("m"))
+    met = rows.select("s", F.struct("id", "n", "pos").alias("x")).join(centre, "s").where((F.col("x.id") != F.col("m.id")) & _may_be_near("x", "m", similarity))
+    return _pairs(met, "x", "m")
+
+
+def other_pairs(live: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b): all pairs that share a shingle of live and are not in one component of found (node, component) yet."""
+    rows = live.join(found, live["id"] == found["node"], "left").select("s", "id", "n", "pos", F.coalesce("component", "id").alias("component"))
+    sizes = rows.groupBy("s", "component").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("s").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("s", F.col("m.component").alias("main"))
+    rows = stored(rows.join(mixed, "s").select("s", "main", F.struct("id", "n", "pos", "component").alias("x")), "near-mixed")
+    fewer = rows.where("x.component <> main").select("s", F.col("x").alias("y"))
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("x.component") == F.col("main")) | (F.col("x.id") < F.col("y.id")))
+    return _pairs(rows.join(fewer, "s").where(apart & _may_be_near("x", "y", similarity)), "x", "y")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -294,19 +331,15 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row, that of the least doc_id (nulls first, then by text hash), of each group of exact and near copies; all columns stay.
 
-    Near copies are texts whose sets of word shingles have this Jaccard similarity or more. Wide fingerprints find the candidates, of which
-    every one is verified on its whole texts; texts with the same words (ASCII letters lower-cased) are copies.
+    Near copies are texts whose sets of word shingles have this Jaccard similarity or more; groups are the components of all such pairs.
+    Prefix filtering finds them all: first each shingle's most shared text is tried against its others, then every pair that shares
+    a shingle and is not in one group yet, so that a large group is not tried pair by pair. Every candidate is verified on its whole texts;
+    texts with the same words (ASCII letters lower-cased) are copies.
     """
-    wide = [f"w{k}" for k in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(2)]
-            found = np.stack([wide_fingerprint(t, shingle) for t in texts]) if texts else np.zeros((0, WORDS), np.int64)
-            same = np.array([xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), 42) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, k]) for k in range(WORDS)], pa.array(same)], ["rid", "tie", *wide, "same"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([same_words(t.as_py()) for t in batch.column(2)], pa.int64())], ["rid", "tie", "id"])
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
@@ -316,12 +349,19 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = id_text(docs).select(rid.alias("rid"), tie.alias("tie"), "text")
-    marked = rows.mapInArrow(run, "rid long, tie long, w0 long, w1 long, w2 long, w3 long, same long")
-    groups = stored(marked.groupBy(*wide, "same").agg(F.min(F.struct("rid", "tie")).alias("first")).withColumn("id", F.xxhash64(*wide, "same")), "wide-fingerprints")
-    pairs = stored(similar_links(groups, groups.count(), similarity), "near-candidates")
-    asked = groups.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "first.rid", "first.tie")
+    groups = stored(rows.mapInArrow(run, "rid long, tie long, id long").groupBy("id").agg(F.min(F.struct("rid", "tie")).alias("first")), "near-groups")
+    common = common_shingles(rows, groups.count(), shingle)
+    keyed = prefixes(rows, common, shingle, similarity).repartition("s").dropDuplicates(["s", "id"])
+    live = stored(keyed.withColumn("c", F.count("*").over(Window.partitionBy("s"))).where("c > 1"), "near-shingles")
+    asked = groups.join(live.select("id").distinct(), "id").select("id", "first.rid", "first.tie")
     texts = stored(rows.join(asked, ["rid", "tie"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(squeezed, "id long, z binary"), "near-texts")
-    found = connected(verified(pairs, texts, shingle, similarity), "near-copies")
+    tried = stored(centre_pairs(live, similarity), "near-candidates")
+    links = stored(verified(tried, texts, shingle, similarity), "near-links")
+    found = connected(links, "near-copies")
+    rest = stored(other_pairs(live, found, similarity).join(tried, ["a", "b"], "left_anti"), "near-candidates")
+    more = stored(verified(rest, texts, shingle, similarity), "near-links")
+    if not more.isEmpty():
+        found = connected(links.unionByName(more), "near-copies")
     label = groups.join(found, groups["id"] == found["node"], "left").select("first", F.coalesce("component", "id").alias("label"))
     kept = label.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("_kept_rid"), F.col("first.tie").alias("_kept_tie"))
     keyed = docs.withColumn("_row_rid", rid).withColumn("_row_tie", tie)

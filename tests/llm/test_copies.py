@@ -107,6 +107,30 @@ def test_repeated_lines_do_not_hide_copies(spark):
     assert [r.doc_id for r in simhash.keep_one_of_each(docs(spark, texts)).collect()] == [0]
 
 
+def test_all_copies_of_a_hub_are_found(spark):
+    r, words = random.Random(12), prose(94, 3000).split()[:400]
+
+    def edited(n, places):  # n words changed, each in five shingles of 396
+        out = list(words)
+        for k in r.sample(places, n):
+            out[k] = f"{out[k]}{r.getrandbits(40)}"
+        return " ".join(out)
+
+    texts = [edited(8, range(5, 395, 6)) for _ in range(2000)]
+    texts.insert(1234, " ".join(words))
+    chain = prose(95, 3000).split()[:400]  # each is near the one before, and not the others
+    for k in range(30):
+        chain[8 * k : 8 * k + 8] = [f"{w}q" for w in chain[8 * k : 8 * k + 8]]
+        chain[330 + k] += "q"
+        texts.append(" ".join(chain))
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    alike = [[len(x & y) / len(x | y) for y in sets[k + 1 :: 97]] for k, x in enumerate(sets[:40])]
+    assert all(len(x & sets[1234]) / len(x | sets[1234]) >= 0.8 for x in sets[:2001]) and max(map(max, alike[:1])) < 0.8
+    assert all(len(x & y) / len(x | y) >= 0.8 for x, y in zip(sets[2001:], sets[2002:])) and len(sets[2001] & sets[-1]) / len(sets[2001] | sets[-1]) < 0.8
+    kept = sorted(x.doc_id for x in simhash.keep_one_of_each(docs(spark, texts)).collect())
+    assert kept == [0, 2001]
+
+
 @pytest.mark.parametrize("group", [1000, 2])
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_repeats(spark, keep, group):
