@@ -4,7 +4,7 @@ A value that follows a credential word and a separator is scored by the fewest g
 dynamic programming over its characters finds the cheapest segmentation into common words, dates, repeats,
 keyboard walks and brute-force spans; the cost of a segmentation is the product of its parts' guesses times the
 factorial of their number. Values that take at least `min_log10` guesses are reported as `guess` spans, beside
-the fixed patterns' own spans, which always stay. A low score on a fixed pattern's value is told in `weak`, not
+the fixed patterns' own spans, which always stay; only one that lies within an `assign` span is not told again. A low score on a fixed pattern's value is told in `weak`, not
 used to drop it.
 
 Nulls, edges: a null or empty text has no spans; a null doc_id stays null; repeated rows keep a row each; an
@@ -32,7 +32,7 @@ def _either_case(words: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
 
 
-KINDS = ("assign", "access", "hex", "guess")
+KINDS = ("assign", "access", "hex", "guess", "guess")  # the last: one that overlaps an assign span and reaches beyond it
 ASSIGN = re.compile("(?:" + _either_case("password|passwd|secret|token|api_?key") + ")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile("AKIA[A-Z0-9]{16,}")  # a shorter run fails whole, as its later starts would
 HEX = re.compile("[0-9a-f]{24,}")  # likewise: runs are maximal
@@ -162,8 +162,11 @@ def scan(text: str, min_log10: float = MIN_LOG10) -> tuple[list[tuple[int, int,
             cost = guess_cost(m[1])
             hardest = max(hardest or 0.0, cost)
             k = bisect_right(taken, m.start(), key=lambda x: x[1])  # the first that ends beyond this one's start
-            if cost >= min_log10 and (k == len(taken) or taken[k][0] >= m.end()):
-                spans.append((3, *m.span()))
+            if cost >= min_log10:
+                if k == len(taken) or taken[k][0] >= m.end():
+                    spans.append((3, *m.span()))
+                elif m.start() < taken[k][0] or taken[k][1] < m.end():
+                    spans.append((4, *m.span()))
     return spans, hardest, weak
 
 
@@ -184,8 +187,8 @@ def find_secrets(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
                 spans, hardest, weak = scan(text.as_py(), min_log10)
                 spans.sort(key=lambda s: (s[1], s[0]))
                 base = [s for s in spans if s[0] < 3]
-                counts = [sum(s[0] == k for s in spans) for k in range(4)]
-                rows.append((doc_id, *counts[:3], hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans), counts[3], hardest, weak))
+                counts = [sum(s[0] == k for s in spans) for k in range(5)]
+                rows.append((doc_id, *counts[:3], hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans), counts[3] + counts[4], hardest, weak))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.float64(), pa.int64()]
             columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])

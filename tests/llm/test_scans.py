@@ -64,6 +64,14 @@ def test_wider_context_is_added_and_redacted():
     assert secrets.redacted(text) == "[SECRET] and pwd: password1 and [SECRET]"
 
 
+def test_a_value_beyond_the_base_span_is_kept_whole(spark):
+    texts = ["password=Xk9mQ2!vR7#pL4$z end", "password=Xk9mQ2vR7pL4z8Wq end", 'client_secret: "Xk9mQ2vR7pL4z8Wq" end', "password=qwerty! end"]
+    got = {r.doc_id: r for r in secrets.find_secrets(docs(spark, list(enumerate(texts)))).collect()}
+    assert [got[k].spans for k in range(4)] == ["assign:0:15,guess:0:25", "assign:0:25", "guess:0:32,assign:7:32", "assign:0:15"]
+    assert [(got[k].n_assign, got[k].n_guess) for k in range(4)] == [(1, 1), (1, 0), (1, 1), (1, 0)]
+    assert [secrets.redacted(t) for t in texts[:3]] == ["[SECRET] end", "[SECRET] end", '[SECRET]" end']
+
+
 def test_base_personal(spark):
     model = pii.fit(pii.count_votes(docs(spark)))
     for r in pii.find_personal(docs(spark), model).collect():
