@@ -3,7 +3,7 @@
 The tokenizers library decides every id. Texts are cut where no pre-token of the vocabulary can span
 (before a single space, or at white space for the vocabulary that drops it), each distinct chunk goes through
 the library once per worker, and the remembered ids are joined. A text in which such a cut could
-change the ids goes through the library whole.
+change the ids, or that holds the content of an added token (<|endoftext|>), goes through the library whole.
 """
 
 from __future__ import annotations
@@ -42,8 +42,10 @@ class MemoEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.byte = self.tokenizer.normalizer is None
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.hidden = not self.byte and any(t.normalized for t in added)  # met in normalised texts only
         self.space, self.pattern = (" ", _ASCII_PIECES["byte"]) if self.byte else ("", _ASCII_PIECES["word"])
         self.model, self.max_entries = self.tokenizer.model, max_entries
         self.letters = _byte_letters()
@@ -84,7 +86,7 @@ class MemoEncoder:
         return array(self.small, [t.id for piece, _ in pieces for t in self.model.tokenize(piece)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if "  " in text if self.byte else any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if self.hidden or any(c in text for c in self.added) or ("  " in text if self.byte else any(c in text for c in "\x1c\x1d\x1e\x1f")):
             ids = self._whole(text)
         else:
             chunks, lead = (text.split(" "), True) if self.byte else (text.split(), False)

@@ -29,6 +29,14 @@ def test_remembering_changes_no_id(name):
         assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_those_of_the_file(name):
+    e, t = MemoEncoder(default_path(name)), Tokenizer.from_file(default_path(name))
+    for text in ["ab <|endoftext|> cd", "<|endoftext|>", "x<|startoftext|>y <|endoftext|><|endoftext|> it's", "<|ENDOFTEXT|> a", "<| endoftext|>", "É<|endoftext|>\u0338 é"] + ODD + [prose(9, 50)]:
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(e.encode("ab <|endoftext|> cd")) // 4 < 6
+
+
 def check_packed(rows):
     by_doc, by_sequence = {}, {}
     for r in rows:
