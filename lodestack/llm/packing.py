@@ -127,8 +127,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: i
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                ids += end
                 open_docs[number] = [doc_id, len(ids) // ID.itemsize, len(ids) // ID.itemsize]
                 take(packer.add(number, ids))
                 number += 1

@@ -101,8 +101,8 @@ def write_planes(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in CHUNKS.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, at = encode(text.as_py()) + end, 0
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                ids, at = ids + end, 0
                 n = len(ids) // ID.itemsize
                 while at < n:
                     part = min(n - at, block_ids - held_ids)

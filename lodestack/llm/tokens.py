@@ -1,9 +1,8 @@
-"""Token ids of whole texts with a public tokenizer file, remembering the ids of words already met.
+"""Token ids of whole texts with a public tokenizer file, remembering the ids of chunks already met.
 
-The tokenizers library decides every id. Texts are cut where no pre-token of the vocabulary can span
-(before a single space, or at white space for the vocabulary that drops it), each distinct chunk goes through
-the library once per worker, and the remembered ids are joined. A text in which such a cut could
-change the ids, or that holds the content of an added token (<|endoftext|>), goes through the library whole.
+The tokenizers library decides every id. Texts are cut only where no pre-token of the vocabulary can span: before a space
+that stands alone between two other characters (or at any white space, for the vocabulary that drops it). Each distinct chunk goes through the library
+once per worker, and the remembered ids are joined. A text that holds an added token's content (<|endoftext|>) goes through the library whole.
 """
 
 from __future__ import annotations
@@ -11,15 +10,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 
 ID = np.dtype("<u4")
+BULK_CHARS = 1 << 20  # texts whose new chunks go through the library together
 
-_ASCII_PIECES = {
-    "byte": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII),
-    "word": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII),
-}
+_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")  # Python's white space holds all that the vocabularies' rules call so
+_RARE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
 
 def default_path(name: str) -> str:
@@ -28,84 +29,91 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves, the rest are moved past 255."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    moved = iter(range(256, 512))
-    return {b: chr(b if b in plain else next(moved)) for b in range(256)}
+@lru_cache(maxsize=65_536)
+def _plain(letter: str) -> bool:
+    """Whether a letter is one to the tokenizer too, which may compose, decompose and lower it first."""
+    return letter.isalpha() and unicodedata.normalize("NFC", letter.lower()).isalpha()
 
 
 class MemoEncoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit integers. max_entries bounds the memory of the remembered words."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers. max_entries bounds the memory of the remembered chunks."""
 
     def __init__(self, path: str, max_entries: int = 1_000_000):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are what runs side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.byte = self.tokenizer.normalizer is None
+        self.spaced = self.tokenizer.normalizer is None  # a space belongs to the word after it; else white space goes
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content for t in added]
-        self.hidden = not self.byte and any(t.normalized for t in added)  # met in normalised texts only
-        self.space, self.pattern = (" ", _ASCII_PIECES["byte"]) if self.byte else ("", _ASCII_PIECES["word"])
-        self.model, self.max_entries = self.tokenizer.model, max_entries
-        self.letters = _byte_letters()
+        self.hidden = not self.spaced and any(t.normalized for t in added)  # met in normalised texts only
+        self.max_entries = max_entries
         self.small = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"  # how remembered ids are held
-        self.known: dict[str, bytes] = {}  # by chunk, without the space before it
-        self.marks = {c: self._piece(c) for c in ".,"}
-
-    def _whole(self, text: str) -> bytes:
-        return array(self.small, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.tokenize, self.space = self.tokenizer.model.tokenize, ""
+        if self.spaced:
+            self.space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        self.known: dict[str, bytes] = {"": b""}  # by chunk, without the space before it
+        self.marks = dict(zip(".,", self._library([".", ","])))
 
-    def _piece(self, piece: str) -> bytes:
-        letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        return array(self.small, [t.id for t in self.model.tokenize(letters)]).tobytes()
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array(self.small, f.ids).tobytes() for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
-        """A word of letters only, which is one pre-token together with the space before it."""
-        found = self.known.get(word)
-        if found is None:
-            self.known[word] = found = self._piece(self.space + word)
-        return found
-
-    def _chunk(self, chunk: str, space: str) -> bytes:
-        plain = True
-        if not self.byte:
-            plain = chunk.isascii() or ("\u03a3" not in chunk and unicodedata.is_normalized("NFC", chunk))
-            lower = chunk.lower() if plain else chunk
-        else:
-            lower = chunk
-        if plain and space == self.space:
-            if lower.isalpha():
-                return self._word(lower)
-            if lower[-1:] in self.marks and lower[:-1].isalpha():
-                return self._word(lower[:-1]) + self.marks[lower[-1]]
-        if chunk.isascii():
-            return b"".join(map(self._piece, self.pattern.findall(space + lower)))
-        text = space + chunk if self.byte else self.tokenizer.normalizer.normalize_str(chunk)
-        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-        return array(self.small, [t.id for piece, _ in pieces for t in self.model.tokenize(piece)]).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if self.hidden or any(c in text for c in self.added) or ("  " in text if self.byte else any(c in text for c in "\x1c\x1d\x1e\x1f")):
-            ids = self._whole(text)
-        else:
-            chunks, lead = (text.split(" "), True) if self.byte else (text.split(), False)
-            head = self._chunk(chunks.pop(0), "") if lead else b""  # all chunks but the first come with their space
-            known = self.known
-            found = list(map(known.get, chunks))
-            if None in found:
-                if len(known) >= self.max_entries:
-                    known.clear()
-                at = -1
-                for _ in range(found.count(None)):
-                    at = found.index(None, at + 1)
-                    chunk = chunks[at]
-                    ids = known.get(chunk)
-                    if ids is None:
-                        known[chunk] = ids = self._chunk(chunk, self.space)
-                    found[at] = ids
-            ids = head + b"".join(found)
-        return ids if self.small == "I" else np.frombuffer(ids, "<u2").astype(ID).tobytes()
+        """A chunk of ASCII letters, which is one pre-token: they stand for themselves in the vocabulary's letters."""
+        return array(self.small, [t.id for t in self.tokenize(self.space + word if self.spaced else word.lower())]).tobytes()
+
+    def _chunks(self, text: str) -> tuple[str, list[str]]:
+        """What comes before the first cut, which is all of a text that is not cut, and the chunks after each cut."""
+        if self.hidden or any(c in text for c in self.added):
+            return text, []
+        if not self.spaced:
+            return "", text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else re.split(r"[\t-\r\x20\x85\xa0]+", text)
+        odd = "  " in text or " \n" in text or "\n " in text or text[-1:] == " " or any(c in text for c in _RARE_SPACE)
+        head, *rest = _LONE_SPACE.split(text) if odd else text.split(" ")
+        return head, rest
+
+    def _learn(self, missing: set[str]) -> None:
+        """Remembers the chunks. A full stop or comma after a letter is a pre-token's beginning, so that it is cut off too."""
+        known, space = self.known, " " if self.spaced else ""
+        cut = [c for c in missing if c[-1] in ".," and _plain(c[-2:-1])]
+        whole = missing.difference(cut)
+        whole.update(s for c in cut if (s := c[:-1]) not in known)
+        others = []
+        for c in whole:
+            if c.isascii() and c.isalpha():
+                known[c] = self._word(c)
+            else:
+                others.append(c)
+        known.update(zip(others, self._library([space + c for c in others])))
+        for c in cut:
+            known[c] = known[c[:-1]] + self.marks[c[-1]]
+
+    def _bulk(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self.known) >= self.max_entries:
+            self.known = {"": b""}
+        split = [self._chunks(t) for t in texts]
+        missing: set[str] = set()
+        for _, chunks in split:
+            missing.update(filterfalse(self.known.__contains__, chunks))
+        if missing:
+            self._learn(missing)
+        ids_of = self.known.__getitem__
+        for first, (_, chunks) in zip(self._library([head for head, _ in split]), split):
+            ids = first + b"".join(map(ids_of, chunks))
+            yield ids if self.small == "I" else np.frombuffer(ids, "<u2").astype(ID).tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= BULK_CHARS:
+                yield from self._bulk(held)
+                held, size = [], 0
+        if held:
+            yield from self._bulk(held)
 
 
 _ENCODERS: dict[str, MemoEncoder] = {}

@@ -1,5 +1,6 @@
 """Packing, id files and chats: exact round trips."""
 
+import itertools
 import random
 import zlib
 
@@ -9,32 +10,41 @@ import pytest
 from conftest import CHATS, edge_rows, prose
 from tokenizers import Tokenizer
 
-from lodestack.llm import chat, packing, planes
+from lodestack.llm import chat, packing, planes, tokens
 from lodestack.llm.tokens import MemoEncoder, default_path
 
 ODD = ["a  b", "a \n b", "\n\n x  ", "don't  stop", "Σίσυφος ΣΑΣ É ﬁ ß ẞ İi", "x\x1cy z", "¿qué? «oui» 12.5 a_b <|endoftext|> end", "tab\tsep\r\nnext\x0b", " lead", "it's we'll 'S", "a\x00b c", "é éx"]
 
 
 def ids(name, text):
-    t = Tokenizer.from_file(default_path(name))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(default_path(name)).encode(text, add_special_tokens=False).ids
+
+
+def check_encoder(name, texts, **limits):
+    e, t = MemoEncoder(default_path(name), **limits), Tokenizer.from_file(default_path(name))
+    for text, got, want in zip(texts, e.encode(texts), t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(text)
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_remembering_changes_no_id(name):
-    e = MemoEncoder(default_path(name), max_entries=50)
-    t = e.tokenizer
-    for text in ODD + [r[1] or "" for r in edge_rows()] + [prose(9, 200)] * 2:
-        assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+def test_remembering_changes_no_id(name, monkeypatch):
+    monkeypatch.setattr(tokens, "BULK_CHARS", 2000)
+    check_encoder(name, ODD + [r[1] or "" for r in edge_rows()] + [prose(9, 200)] * 2, max_entries=50)
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_added_tokens_are_those_of_the_file(name):
-    e, t = MemoEncoder(default_path(name)), Tokenizer.from_file(default_path(name))
-    for text in ["ab <|endoftext|> cd", "<|endoftext|>", "x<|startoftext|>y <|endoftext|><|endoftext|> it's", "<|ENDOFTEXT|> a", "<| endoftext|>", "É<|endoftext|>\u0338 é"] + ODD + [prose(9, 50)]:
-        assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
-    assert len(e.encode("ab <|endoftext|> cd")) // 4 < 6
+    check_encoder(name, ["ab <|endoftext|> cd", "<|endoftext|>", "x<|startoftext|>y <|endoftext|><|endoftext|> it's", "<|ENDOFTEXT|> a", "<| endoftext|>", "É<|endoftext|>\u0338 é"])
+    assert ids("byte_bpe_50k.json", "hello <|endoftext|> world") == [31373, 220, 50256, 995]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_white_space_and_odd_letters(name):
+    space = [" ", "\n", "\xa0", "\x1c", "\x85", "\u2003", "\t"]
+    texts = ["a" + "".join(w) + "b" for k in range(5) for w in itertools.product(space, repeat=k)] + ["".join(w) for k in range(4) for w in itertools.product(space, repeat=k)]
+    r = random.Random(1)
+    letters = [*space, *"ab.,'s1é!≯Σσİक़", "\u0301", "\u0338", "'ll", "don't", "<|endoftext|>"]
+    check_encoder(name, texts + ["".join(r.choices(letters, k=r.randint(0, 14))) for _ in range(4000)])
 
 
 def check_packed(rows):
