@@ -31,6 +31,20 @@ def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
 
 
+KEYS = {}
+for rows in (("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"), ("!@#$%^&*()_+", "QWERTYUIOP{}", "ASDFGHJKL:\"", "ZXCVBNM<>?")):
+    KEYS |= {c: (2 * k + r, r) for r, row in enumerate(rows) for k, c in enumerate(row)}  # in half keys
+
+
+def step(a, b):
+    """How one goes from key a to a key b that touches it, in half keys and rows."""
+    if a in KEYS and b in KEYS:
+        x, y = KEYS[b][0] - KEYS[a][0], KEYS[b][1] - KEYS[a][1]
+        if (abs(x), abs(y)) in ((2, 0), (1, 1)):
+            return x, y
+    return None
+
+
 def guess_cost(value):
     """log10 guesses of the cheapest of all segmentations of a short value, by number of parts."""
     lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
@@ -42,15 +56,14 @@ def guess_cost(value):
         if plain[i:j] in secrets.COMMON_WORDS:
             rank = secrets.COMMON_WORDS.index(plain[i:j]) + 1
             costs.append(math.log10(rank * 2 ** ((lower[i:j] != value[i:j]) + (plain[i:j] != lower[i:j])) + 1))
-        found = secrets._DATE.match(value, i)
-        if found and found.end() == j:
-            costs.append(math.log10(36_500) if size > 4 else 2.0)
-        for unit in (1, 2, 3, 4):
+        costs += [cost for form, cost in secrets._DATES if (found := form.match(value, i)) and found.end() == j]
+        for unit in range(1, size // 2 + 1):
             whole = size // unit
-            if size % unit == 0 and whole > 1 and size >= 3 and value[i : i + unit] * whole == value[i:j] and not value.startswith(value[i : i + unit], j):
+            if size % unit == 0 and size >= 3 and value[i : i + unit] * whole == value[i:j] and not value.startswith(value[i : i + unit], j):
                 costs.append(math.log10(95) * unit * 0.8 + math.log10(whole))
-        if size >= 3 and all((a, b) in secrets._STEPS for a, b in zip(lower[i:j], lower[i + 1 : j])):
-            costs.append(math.log10(80 * size))
+        ways = [step(a, b) for a, b in zip(value[i:j], value[i + 1 : j])]
+        if size >= 3 and None not in ways and (j == n or step(value[j - 1], value[j]) is None):
+            costs.append(math.log10(47 * size) + math.log10(5) * sum(a != b for a, b in zip(ways, ways[1:])))
         return min(costs)
 
     best = [{0: 0.0}]
@@ -133,5 +146,19 @@ def repeats(texts, size=400, keep="none"):
     return out
 
 
+def passages(texts, size=50):
+    """Runs of words covered by strings of `size` words that are in another text too, for each text."""
+    words, where = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts], {}
+    for d, w in enumerate(words):
+        for k in range(len(w) - size + 1):
+            where.setdefault(tuple(w[k : k + size]), []).append((d, k))
+    gone = [np.zeros(len(w), bool) for w in words]
+    for places in where.values():
+        if len({d for d, _ in places}) > 1:
+            for d, k in places:
+                gone[d][k : k + size] = True
+    return [int(np.diff(np.concatenate([[0], g.astype(int)])).clip(0).sum()) for g in gone]
+
+
 def ids_crc32(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
