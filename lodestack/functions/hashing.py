@@ -23,9 +23,13 @@ def digest_hex(data: Column, algo: str = "sha2-256") -> Column:
     return F.sha2(data, 256) if algo == "sha2-256" else blake3_hex(data)
 
 
+def id_of_digest(hex_digits: Column, algo: str = "sha2-256") -> Column:
+    return F.concat(F.lit("b"), base32(F.concat(F.lit(CODEC + MULTIHASH[algo]), hex_digits), 7))
+
+
 def content_id(data: Column, algo: str = "sha2-256") -> Column:
     """The 57-letter identifier of some bytes."""
-    return F.concat(F.lit("b"), base32(F.concat(F.lit(CODEC + MULTIHASH[algo]), digest_hex(data, algo)), 7))
+    return id_of_digest(digest_hex(data, algo), algo)
 
 
 def is_content_id(column: Column) -> Column:

@@ -43,8 +43,28 @@ def decide(requests: DataFrame, owners: DataFrame, manifests: DataFrame) -> Data
     return joined.withColumn("download", download).withColumn("can_delete", may_delete(F.col("_owner"), F.col("token"))).drop("_owner", "_there")
 
 
+def signed_in(requests: DataFrame) -> DataFrame:
+    """The requests of sessions that hold both a user and a token; the others are turned away."""
+    held = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return requests.where(held("username") & held("token"))
+
+
 def listing(owners: DataFrame, manifests: DataFrame) -> DataFrame:
     """token, cid, filename, size of owned files; a file without manifest is listed under its identifier with size 0."""
     m = manifests.select("cid", F.col("filename").alias("_name"), F.col("total_size").alias("_size")).dropDuplicates(["cid"])
     name = F.coalesce(F.when(F.col("_name") != "", F.col("_name")), F.col("cid"))
     return owners.where("token IS NOT NULL").join(m, "cid", "left").select("token", "cid", name.alias("filename"), F.coalesce("_size", F.lit(0)).alias("size"))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz234567"
+
+
+def listing_pages(listed: DataFrame, page_files: int = 1000) -> DataFrame:
+    """token, page and response: each token's files as JSON arrays of about page_files, so that no caller's files meet in one cell.
+
+    A file's page follows from its identifier's last four letters, its place in a page from the identifier.
+    """
+    place = sum((F.instr(F.lit(_LETTERS), F.substring("cid", -k, 1)) - 1) * 32 ** (k - 1) for k in range(1, 5))
+    pages = listed.groupBy("token").agg(F.ceil(F.count("*") / page_files).alias("_pages"))
+    paged = listed.join(pages, "token").select("token", F.floor(place * F.col("_pages") / 32**4).alias("page"), "cid", "filename", "size")
+    return paged.groupBy("token", "page").agg(F.to_json(F.sort_array(F.collect_list(F.struct("cid", "filename", "size")))).alias("response"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNK_SIZE = 262_144
+SPAN = 4096
 
 
 def split(files: DataFrame, chunk_size: int = CHUNK_SIZE, content: str = "content") -> DataFrame:
@@ -21,11 +22,15 @@ def split(files: DataFrame, chunk_size: int = CHUNK_SIZE, content: str = "conten
 def rechunk(frames: DataFrame, chunk_size: int = CHUNK_SIZE, key: str = "conn_id", order: str = "seq", payload: str = "payload") -> DataFrame:
     """key, idx, size and data of the stream that each key's payloads make in order, however they were framed.
 
-    A frame's byte offset is a running sum; the parts of a frame go to the chunks they fall in, and are put together by offset.
+    A frame's byte offset is a running sum, in two steps: over the lengths of runs of SPAN places in the order, then over the frames of a run, so that a key's
+    bytes are never in one window. The parts of a frame go to the chunks they fall in, and are put together by offset.
     """
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     length = F.octet_length(payload).cast("long")
-    placed = frames.where(length > 0).select(key, F.col(payload).alias("_p"), length.alias("_n"), F.coalesce(F.sum(length).over(before), F.lit(0)).alias("_off"))
+    sized = frames.where(length > 0).select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.floor(F.col(order) / SPAN).alias("_run"), F.col(payload).alias("_p"), length.alias("_n"))
+    runs = sized.groupBy("_key", "_run").agg(F.sum("_n").alias("_sum"))
+    runs = runs.select("_key", "_run", F.coalesce(F.sum("_sum").over(earlier("_key").orderBy("_run")), F.lit(0)).alias("_base"))
+    placed = sized.join(runs, ["_key", "_run"]).select(F.col("_key").alias(key), "_p", "_n", (F.col("_base") + F.coalesce(F.sum("_n").over(earlier("_key", "_run").orderBy("_order")), F.lit(0))).alias("_off"))
     first, last = F.floor(F.col("_off") / chunk_size), F.floor((F.col("_off") + F.col("_n") - 1) / chunk_size)
     parts = placed.select("*", F.explode(F.sequence(first, last)).alias("idx"))
     start = F.greatest(F.col("idx") * chunk_size, F.col("_off"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.hashing import content_id
+from lodestack.functions.hashing import content_id, digest_hex, id_of_digest
 
 VERSION = 1
 CHUNKS = "array<struct<index: bigint, size: bigint, hash: string>>"
@@ -13,7 +13,8 @@ SCHEMA = f"version bigint, hash_algo string, chunk_size bigint, total_size bigin
 
 
 def hashed(chunks: DataFrame, algo: str = "sha2-256") -> DataFrame:
-    return chunks.withColumn("hash", content_id(F.col("data"), algo))
+    """chunks with their identifiers; a chunk has bytes, so none is null, and no join needs to compute one just to test that."""
+    return chunks.withColumn("hash", F.coalesce(content_id(F.col("data"), algo), F.lit("")))
 
 
 def manifest_text(filename: Column, total_size: Column, chunks: Column, chunk_size: int, algo: str) -> Column:
@@ -39,8 +40,25 @@ def build(files: DataFrame, chunks: DataFrame, chunk_size: int, algo: str = "sha
     none = F.array().cast(CHUNKS)
     whole = files.select(key, F.when(F.coalesce("filename", F.lit("")) == "", "unnamed").otherwise(F.col("filename")).alias("filename")).join(lists, key, "left")
     filled = whole.select(key, "filename", F.coalesce("chunks", none).alias("chunks"), F.coalesce("total_size", F.lit(0)).alias("total_size"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-    text = filled.withColumn("manifest_json", manifest_text(F.col("filename"), F.col("total_size"), F.col("chunks"), chunk_size, algo))
-    return text.withColumn("cid", content_id(F.encode("manifest_json", "utf-8"), algo))
+    return _named(filled, chunk_size, algo)
+
+
+def _named(whole: DataFrame, chunk_size: int, algo: str) -> DataFrame:
+    text = whole.withColumn("manifest_json", manifest_text(F.col("filename"), F.col("total_size"), F.col("chunks"), chunk_size, algo))
+    return text.withColumn("cid", F.coalesce(content_id(F.encode("manifest_json", "utf-8"), algo), F.lit("")))
+
+
+def of_files(files: DataFrame, chunk_size: int) -> DataFrame:
+    """What build() gives, for whole files (filename, content, …; the other columns stay), each in its own row: no shuffle, and each chunk is hashed once."""
+    n = F.ceil(F.octet_length("content") / F.lit(chunk_size))
+    parts = F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>")), lambda i: F.struct(i.alias("index"), F.substring(F.col("content"), i.cast("int") * chunk_size + 1, F.lit(chunk_size)).alias("data")))
+    digests = F.transform(parts, lambda p: F.struct(p["index"].alias("index"), F.octet_length(p["data"]).cast("long").alias("size"), digest_hex(p["data"]).alias("hex")))
+    chunks = F.transform(digests, lambda x: F.struct(x["index"].alias("index"), x["size"].alias("size"), id_of_digest(x["hex"]).alias("hash")))
+    rest = [c for c in files.columns if c not in ("filename", "content")]
+    name = F.when(F.coalesce("filename", F.lit("")) == "", "unnamed").otherwise(F.col("filename"))
+    size = F.coalesce(F.octet_length("content").cast("long"), F.lit(0)).alias("total_size")
+    listed = files.select(*rest, name.alias("filename"), F.coalesce(chunks, F.array().cast(CHUNKS)).alias("chunks"), size)
+    return _named(listed.withColumn("chunk_count", F.size("chunks").cast("long")), chunk_size, "sha2-256")
 
 
 def parse(manifests: DataFrame, text: str = "manifest_json") -> DataFrame:

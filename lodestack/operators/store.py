@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions.hashing import content_id
@@ -24,17 +24,17 @@ def present(hashes: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def put(chunks: DataFrame, path: str) -> None:
     """Appends the blocks that the store at path lacks. Parquet files are spread by hash suffix: prefixes are all alike."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
-
-    spark = chunks.sparkSession
-    try:
-        new = absent(chunks, spark.read.parquet(path))
-    except (AnalysisException, Py4JJavaError):  # there is no store yet
-        new = unique_blocks(chunks)
+    blocks = read_if_there(chunks.sparkSession, path)
+    new = unique_blocks(chunks) if blocks is None else absent(chunks, blocks)
     new.write.mode("append").parquet(path)
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path, None where nothing was written yet; a table that cannot be read is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
 def verify(expected: DataFrame, blocks: DataFrame, algo: str = "sha2-256") -> DataFrame:
     """expected (…, size, hash) with status (ok, corrupt, missing) and size_differs, which is a warning only.
 

@@ -15,6 +15,7 @@ _IN_ORDER = [
     state.owner_last_writer, files.rechunk_frames, files.upload_progress, state.auth_tokens, state.frame_codec, files.shard_distribution, files.same_bytes_other_name,
     state.list_json, state.session_errors, state.stream_sessions, files.blake3_cids, state.name_fallbacks, state.owner_path_roundtrip, state.response_classify,
     files.empty_inputs, state.users_from_json, files.block_exists, files.upload_ids, files.client_slices, files.foreign_import,
+    state.put_files, state.delete_files, state.create_users, state.resume_requests, state.session_access, state.session_resume, state.signed_in,
 ]
 
 

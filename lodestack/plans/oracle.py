@@ -115,7 +115,9 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'suffix', hash[57:57], count(*) FROM b GROUP BY ALL""",
     "q29_same_bytes_other_name": f"""{_NAMED}, {_manifests("copies", "'copy-of-' || filename")}
         SELECT m.file_id, m.cid, c.cid AS copy_cid, m.cid <> c.cid AS cids_differ, true AS same_chunks FROM manifests m JOIN copies c USING (file_id)""",
-    "q30_list_json": f"""{_LISTED} SELECT token, '[' || string_agg('{{"cid":"' || cid || '","filename":"' || filename || '","size":' || size || '}}', ',' ORDER BY cid) || ']' AS response FROM listed GROUP BY token""",
+    "q30_list_json": f"""{_LISTED}, placed AS (
+        SELECT *, count(*) OVER (PARTITION BY token) AS n, {" + ".join(f"(strpos('abcdefghijklmnopqrstuvwxyz234567', substr(cid, {54 + k}, 1)) - 1) * {32 ** (3 - k)}" for k in range(4))} AS place FROM listed)
+        SELECT token, (place * ((n + 19) // 20)) // 1048576 AS page, '[' || string_agg('{{"cid":"' || cid || '","filename":"' || filename || '","size":' || size || '}}', ',' ORDER BY cid) || ']' AS response FROM placed GROUP BY ALL""",
     "q31_session_errors": _SCRIPT,
     "q32_stream_sessions": _SCRIPT,
     "q34_name_fallbacks": f"""WITH {_files("CASE WHEN lang = 'fr' THEN 'unnamed' ELSE 'doc-' || doc_id || '.txt' END")}, {_chunks()}, {_manifests()}
@@ -129,4 +131,26 @@ SQL: dict[str, str] = {
     "q40_upload_ids": f"{_NAMED} SELECT file_id, left(filename || '-1700000000', 255) AS upload_id, left(cid, 10) AS hash_preview FROM manifests",
     "q41_client_slices": f"""WITH whole AS (SELECT page_id, encode(html) AS content FROM pages), {_chunks("whole", 262144, "page_id")}
         SELECT page_id, idx, size, sha256(data) AS data_sha256, true AS same FROM chunks""",
+    "q43_put_files": f"""{_LOG}, odd_last AS (SELECT cid, count(*) AS n_uploads, arg_max_null(token, seq) AS token FROM log GROUP BY cid)
+        SELECT o.cid, filename, total_size, n_uploads, o.token, (SELECT count(DISTINCT hash) FROM chunks) AS n_blocks, (SELECT CAST(sum(size) AS BIGINT) FROM (SELECT DISTINCT hash, size FROM chunks)) AS stored_bytes
+        FROM odd_last o JOIN one USING (cid)""",
+    "q44_delete_files": f"""{_LOG}, asked AS (SELECT o.cid, o.token AS stored, CASE total_size % 3 WHEN 0 THEN o.token WHEN 1 THEN {_token("'someone'", "'pw-someone'")} END AS token FROM owners o JOIN one USING (cid)),
+        decided AS (SELECT cid, CASE WHEN stored IS NULL THEN token IS NULL ELSE stored IS NOT DISTINCT FROM token END AS ok FROM asked)
+        SELECT cid, CASE WHEN ok THEN 'deleted' ELSE 'AUTH_ERROR' END AS outcome, NOT ok AS there FROM decided UNION ALL SELECT 'nothing', 'missing', false""",
+    "q45_create_users": """SELECT source AS username, sha256(source || ':' || 'pw-' || arg_min(doc_id, (doc_id % 2) * 1000000000000 + doc_id)) AS password_hash, true AS dated, count(*) - 1 AS n_turned_away FROM documents GROUP BY source""",
+    "q46_resume_requests": f"""{_NAMED}, asked AS (SELECT file_id, CASE WHEN file_id % 11 = 0 THEN 'RESUME_ERROR: invalid arguments' WHEN file_id % 7 = 0 OR file_id % 3 = 0 THEN 'RESUME_ERROR: no manifest found for upload_id' ELSE 'RESUME_OK' END AS reply, chunk_count FROM manifests)
+        SELECT file_id, reply, CASE WHEN reply = 'RESUME_OK' THEN chunk_count // 2 END AS next_index FROM asked""",
+    "q47_session_access": f"""{_LOG}, asked AS (SELECT file_id, cid, o.token AS stored, filename, k, CASE k WHEN 0 THEN o.token WHEN 1 THEN {_token("'someone'", "'pw-someone'")} END AS token
+            FROM owners o JOIN one USING (cid), (SELECT unnest([0, 1, 2]) AS k)),
+        said AS (SELECT *, stored IS NULL OR stored IS NOT DISTINCT FROM token AS open, file_id * 3 + k AS conn_id FROM asked),
+        first AS (SELECT *, CASE WHEN NOT open THEN 'AUTH_ERROR' WHEN filename = 'fr.txt' THEN 'DOWNLOAD_ERROR' END AS fault FROM said),
+        third AS (SELECT *, CASE WHEN file_id % 5 = 0 THEN 'empty delete' WHEN stored IS NULL AND token IS NOT NULL THEN 'AUTH_ERROR' END AS refused FROM first WHERE fault IS NULL)
+        SELECT conn_id, 1 AS seq, CASE WHEN fault IS NULL THEN 'download' ELSE 'closed' END AS event, coalesce(fault, cid) AS detail FROM first
+        UNION ALL SELECT conn_id, 2, 'download', cid FROM third
+        UNION ALL SELECT conn_id, 3, CASE WHEN refused IS NULL THEN 'delete' ELSE 'closed' END, coalesce(refused, cid) FROM third
+        UNION ALL SELECT conn_id, 4, 'list', coalesce(token, '') FROM third WHERE refused IS NULL""",
+    "q48_session_resume": """WITH s AS (SELECT doc_id AS conn_id, doc_id % 5 <> 0 AND doc_id % 2 = 0 AS ok FROM documents)
+        SELECT conn_id, 0 AS seq, CASE WHEN ok THEN 'resumed' ELSE 'closed' END AS event, CASE WHEN ok THEN 'up-' || conn_id ELSE 'RESUME_ERROR' END AS detail, 0 AS received FROM s
+        UNION ALL SELECT conn_id, 2, 'uploaded', 'up-' || conn_id, 4 FROM s WHERE ok""",
+    "q49_signed_in": f"""SELECT doc_id, source AS username, {_token("source", "'pw-' || source")} AS token FROM documents WHERE lang NOT IN ('fr', 'es', 'de')""",
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators.manifest import parse
@@ -39,20 +42,21 @@ def users(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def export(blocks_df: DataFrame, manifests_df: DataFrame, root: str) -> None:
-    """Writes the files that blocks() and manifests() read, through the file system Spark uses for root; a retried task writes the same bytes again."""
-    spark = blocks_df.sparkSession
-    manifests_df.select(F.concat(F.lit("m"), F.substring("cid", -2, 2)).alias("shard"), "cid", "manifest_json").write.mode("overwrite").parquet(f"{root}/manifest-rows")
-    blocks_df.select("hash", "size", "data").write.mode("overwrite").parquet(f"{root}/block-rows")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
-
-    def write(path: str, data: bytes) -> None:
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(path), True)
-        out.write(bytearray(data))
-        out.close()
-
-    # a fixture for tests of the importer, a row at a time from a local iterator; stores of any size stay Parquet
-    for r in spark.read.parquet(f"{root}/block-rows").toLocalIterator():
-        write(f"{root}/blocks/{r['hash'][:2]}/{r['hash'][2:4]}/{r['hash']}", bytes(r["data"]))
-    for r in spark.read.parquet(f"{root}/manifest-rows").toLocalIterator():
-        write(f"{root}/manifests/{r['cid']}.json", r["manifest_json"].encode())
+    """Writes the files that blocks() and manifests() read, from the tasks, to a root that pyarrow's file systems reach; a retried task writes the same bytes again."""
+
+    def write(rows: Iterator[Row]) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for r in rows:
+            path = f"{base}/{r['path']}"
+            store.create_dir(path.rpartition("/")[0])
+            unready = f"{base}/unready-{uuid.uuid4().hex}"
+            with store.open_output_stream(unready) as out:
+                out.write(bytes(r["data"]))
+            store.move(unready, path)
+
+    b, m = F.col("hash"), F.col("cid")
+    named = blocks_df.select(F.concat_ws("/", F.lit("blocks"), F.substring(b, 1, 2), F.substring(b, 3, 2), b).alias("path"), "data")
+    texts = manifests_df.select(F.concat(F.lit("manifests/"), m, F.lit(".json")).alias("path"), F.encode("manifest_json", "utf-8").alias("data"))
+    named.unionByName(texts).foreachPartition(write)

@@ -57,14 +57,21 @@ def hashes(files: DataFrame, size: int = CHUNK) -> DataFrame:
     return chunked(files.select("file_id", "content"), size).select("file_id", "idx", "size", "hash")
 
 
-def manifests(files: DataFrame, size: int = CHUNK, algo: str = "sha2-256") -> DataFrame:
-    return manifest.build(files.select("file_id", "filename"), hashes(files, size), size, algo)
+def manifests(files: DataFrame, size: int = CHUNK) -> DataFrame:
+    return manifest.of_files(files.select("file_id", "filename", "content"), size)
 
 
-def log(spark: SparkSession, sf_dir: str, deletes: bool = False) -> DataFrame:
-    """seq, op, cid, token of the uploads, and after them, if asked for, the deletion of every file that src1 uploaded."""
-    up = uploads(spark, sf_dir)
-    put = manifests(up).join(up.select("file_id", "token", "source"), "file_id").select(F.col("file_id").alias("seq"), F.lit("PUT").alias("op"), "cid", "token", "source")
+def stored_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uploads' manifests with their token and source, written once: one scan and one digest of the documents serve all that is derived from them."""
+    whole = manifest.of_files(uploads(spark, sf_dir).select("file_id", "filename", "content", "token", "source"), CHUNK)
+    path = shared_path(spark, "uploads")
+    whole.drop("manifest_json").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def log(made: DataFrame, deletes: bool = False) -> DataFrame:
+    """seq, op, cid, token of stored_uploads, and after them, if asked for, the deletion of every file that src1 uploaded."""
+    put = made.select(F.col("file_id").alias("seq"), F.lit("PUT").alias("op"), "cid", "token", "source")
     if deletes:
         gone = put.where("source = 'src1'").groupBy("cid").agg(F.max("token").alias("token")).select(F.lit(1 << 62).alias("seq"), F.lit("DELETE").alias("op"), "cid", "token", F.lit("src1").alias("source"))
         put = put.unionByName(gone)
