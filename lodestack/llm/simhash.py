@@ -14,7 +14,7 @@ under themselves and their one-bit neighbours (half the distance each way), whic
 never leaves pairs out.
 
 Nulls, edges: a null text is an empty one; a null doc_id takes part, but is no component's least id unless there is no other (null);
-repeated rows keep a row each; an empty table gives no rows.
+repeated rows keep a row each; very long texts are read whole; a bit set in exactly half the hashes is 0; other columns are not read, so none can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import documents, id_text, stored
@@ -188,10 +188,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity: texts that share a rare enough shingle are candidates, their whole shingle sets decide.
+# Near copies by similarity: texts whose min-hash sketches agree in a whole partition are candidates, their whole shingle sets decide.
 
-SAMPLE, COMMON = 20_000, 4  # rows sampled for the order of shingles, and from how many of them on a shingle counts as common
-COMMON_KEPT = 200_000  # common shingles that the driver hands out
+PARTS, PART = 96, 8  # partitions of a sketch and symbols in each: a pair at similarity 0.8 is missed with probability (1 - 0.8 ** 8) ** 96 < 3e-8
+SIGNS, MAX_APART = 256, 60  # one bit of so many symbols; at similarity 0.8 as many as 26 differ on average, more than 60 with probability under 1e-10
+_DRAW = np.random.default_rng(20_240_229)
+_TIMES = _DRAW.integers(0, 1 << 32, (PARTS * PART, 1), dtype=np.uint32) | np.uint32(1)
+_PLUS = _DRAW.integers(0, 1 << 32, (PARTS * PART, 1), dtype=np.uint32)
 
 
 def shingle_set(text: str, shingle: int) -> frozenset[bytes]:
@@ -206,77 +209,73 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), len(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = min(shingle, n) - 1
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - last].tolist(), ends[last:].tolist())], np.uint64).view(np.int64))
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - last].tolist(), ends[last:].tolist())], np.uint64))
 
 
-def same_words(text: str) -> int:
+def same_words(text: str) -> bytes:
+    """128 bits that tell texts with other words (ASCII letters lower-cased) apart."""
     import xxhash
 
-    value = xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), 42)
-    return value - (1 << 64) if value >> 63 else value
+    return xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()))
 
 
-def common_shingles(texts: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) and counts of shingles that many of the texts (tie, text; n of them) hold, by a sample of about SAMPLE texts.
+def partition_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a key for each partition of the sketch, SIGNS bits in longs): the least values of PART hash functions over the shingles make a key."""
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(PARTS * PART, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 128):
+        values = x[at : at + 128] * _TIMES
+        values += _PLUS
+        np.minimum(least, values.min(1), out=least)
+    signs = np.packbits((least[:SIGNS] * np.uint32(0x9E3779B1)) >> np.uint32(31)).view(np.int64)
+    key = np.arange(PARTS, dtype=np.uint64)
+    for column in least.reshape(PARTS, PART).T:
+        key = (key ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64), signs
 
-    They only order shingles: any order gives the same pairs, a good one fewer candidates.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_hashes(t.as_py(), shingle) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["s"])
-
-    sampled = texts.where(F.pmod(F.xxhash64("tie"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
-    counts = sampled.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
-    rows = counts.orderBy(F.desc("c"), "s").limit(COMMON_KEPT).toArrow()
-    s, c = (rows.column(k).to_numpy().astype(np.int64) for k in ("s", "c"))
-    order = np.argsort(s)
-    return s[order], c[order]
-
-
-def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
-    """Rows (s, id, n, pos): the first shingles of each text (text) in the order of common_shingles, uncommon ones first by hash.
 
-    n distinct shingles give n - ceil(similarity * n) + 1 rows: two texts of that similarity share one of them.
-    """
-    hashes, counts = common
+def _groups(rows: DataFrame, shingle: int) -> DataFrame:
+    """id, first (rid and tie), n (distinct shingles), keys (of its sketch's partitions) and signs for each distinct text of rows (rid, tie, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()  # exact copies in one task are written once
+        seen = set()  # a text's sketch is told once in a task
         for batch in batches:
-            out = []
-            for t in batch.column(0):
+            names, sizes, keys, signs = [], [], [], []
+            for t in batch.column(2):
                 text = t.as_py()
-                name = same_words(text)
-                if name in seen:
-                    continue
-                seen.add(name)
-                found = shingle_hashes(text, shingle)
-                n = len(found)
-                if not n:
-                    continue
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-                    found = found[np.argsort(np.where(hashes[at] == found, counts[at], 0), kind="stable")]
-                first = found[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-                out.append((first, np.full(len(first), name), np.full(len(first), n), np.arange(len(first))))
-            columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["s", "id", "n", "pos"])
-
-    return texts.select("text").mapInArrow(run, "s long, id long, n int, pos int")
+                names.append(same_words(text))
+                new = names[-1] not in seen
+                seen.add(names[-1])
+                hashes = shingle_hashes(text, shingle) if new else ()
+                sizes.append(len(hashes) if new else None)
+                key, sign = partition_keys(hashes) if len(hashes) else (None, None)
+                keys.append(key)
+                signs.append(sign)
+            halves = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, signs))],
+                ["rid", "tie", "w0", "w1", "n", "keys", "signs"],
+            )
+
+    marked = rows.mapInArrow(run, "rid long, tie long, w0 long, w1 long, n int, keys array<long>, signs array<long>")
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    found = marked.groupBy("w0", "w1").agg(F.min(F.struct("rid", "tie")).alias("first"), F.max("n").alias("n"), first("keys"), first("signs"))
+    signs = F.struct(*[F.col("signs")[k].alias(f"s{k}") for k in range(SIGNS // 64)]).alias("signs")
+    return stored(found.select(F.monotonically_increasing_id().alias("id"), "first", "n", "keys", signs), "near-groups")
 
 
 def _may_be_near(a: str, b: str, similarity: float):
-    """Whether two rows of one shingle, the first that their texts share, leave room for the overlap that the similarity takes."""
-    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
-    return left >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (similarity / (1 + similarity)) - 1e-6
+    """Whether sizes leave room for the similarity and the signs of the sketches are no further apart than MAX_APART."""
+    sizes = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n")) * similarity - 1e-6
+    apart = sum(F.bit_count(F.col(f"{a}.signs.s{k}").bitwiseXOR(F.col(f"{b}.signs.s{k}"))) for k in range(SIGNS // 64))
+    return sizes & (apart <= MAX_APART)
 
 
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -284,23 +283,22 @@ def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def centre_pairs(live: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b): for each shingle of live (s, id, n, pos, c: its texts) its most shared text against all others, linear in the rows.
+    """Candidates (a, b): for each key of live (s, id, n, signs, c: its texts) its most shared text against all others, linear in the rows.
 
     The most shared text has the largest mean log of c, so that the hub of many copies is met by all of them.
     """
-    shared = live.groupBy("id").agg((F.sum(F.log2("c")) / F.max("n")).alias("share"))
-    rows = live.join(shared, "id")
-    centre = rows.groupBy("s").agg(F.max(F.struct("share", "id", "n", "pos")).alias("m"))
-    met = rows.select("s", F.struct("id", "n", "pos").alias("x")).join(centre, "s").where((F.col("x.id") != F.col("m.id")) & _may_be_near("x", "m", similarity))
-    return _pairs(met, "x", "m")
+    shared = live.groupBy("id").agg((F.sum(F.log2("c")) / F.count("*")).alias("share"))
+    rows = stored(live.join(shared, "id").select("s", "share", F.struct("id", "n", "signs").alias("x")), "near-shared")
+    centre = stored(rows.groupBy("s").agg(F.max(F.struct("share", "x")).alias("m")).select("s", F.col("m.x").alias("m")), "near-centres")
+    return _pairs(rows.join(centre, "s").where((F.col("x.id") != F.col("m.id")) & _may_be_near("x", "m", similarity)), "x", "m")
 
 
 def other_pairs(live: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b): all pairs that share a shingle of live and are not in one component of found (node, component) yet."""
-    rows = live.join(found, live["id"] == found["node"], "left").select("s", "id", "n", "pos", F.coalesce("component", "id").alias("component"))
+    """Candidates (a, b): all pairs that share a key of live and are not in one component of found (node, component) yet."""
+    rows = live.join(found, live["id"] == found["node"], "left").select("s", "id", "n", "signs", F.coalesce("component", "id").alias("component"))
     sizes = rows.groupBy("s", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("s").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("s", F.col("m.component").alias("main"))
-    rows = stored(rows.join(mixed, "s").select("s", "main", F.struct("id", "n", "pos", "component").alias("x")), "near-mixed")
+    rows = stored(rows.join(mixed, "s").select("s", "main", F.struct("id", "n", "signs", "component").alias("x")), "near-mixed")
     fewer = rows.where("x.component <> main").select("s", F.col("x").alias("y"))
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("x.component") == F.col("main")) | (F.col("x.id") < F.col("y.id")))
     return _pairs(rows.join(fewer, "s").where(apart & _may_be_near("x", "y", similarity)), "x", "y")
@@ -328,33 +326,39 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return first.join(texts.select(F.col("id").alias("b"), F.col("z").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _row_key(docs: DataFrame) -> tuple:
+    """(rid, tie): the id, a null one as the least, and a hash of the text, then of all other columns: rows with equal keys are alike in all."""
+    others = [docs[c] for c in docs.columns if c != "text"]
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(docs["text"], F.lit("")), F.to_json(F.struct(*others)))
+
+
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row, that of the least doc_id (nulls first, then by text hash), of each group of exact and near copies; all columns stay.
+    """docs with one row, that of the least doc_id (nulls first, then by a hash of the row), of each group of exact and near copies; all columns stay.
 
     Near copies are texts whose sets of word shingles have this Jaccard similarity or more; groups are the components of all such pairs.
-    Prefix filtering finds them all: first each shingle's most shared text is tried against its others, then every pair that shares
-    a shingle and is not in one group yet, so that a large group is not tried pair by pair. Every candidate is verified on its whole texts;
+    Texts are sketched by PARTS * PART min-hash symbols in partitions of PART; two sketches that agree in a whole partition make a
+    candidate pair (pigeonhole: fewer than PARTS symbols apart they must, further apart they do with the probability told above), unless MAX_APART rules it out.
+    First each key's most shared text is tried against its others, then every pair that shares a key and is
+    not in one group yet, so that a large group is not tried pair by pair. Every candidate is verified on its whole texts;
     texts with the same words (ASCII letters lower-cased) are copies.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([same_words(t.as_py()) for t in batch.column(2)], pa.int64())], ["rid", "tie", "id"])
+    Nulls, edges: a null text is an empty one, and texts without words are copies of one another; rows alike in all columns leave one;
+    very long texts are sketched and compared whole; columns of any name pass through; an empty table gives no rows.
+    """
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress(x.as_py().encode("utf-8")) for x in batch.column(1)], pa.binary())], ["id", "z"])
-
-    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    tie = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = id_text(docs).select(rid.alias("rid"), tie.alias("tie"), "text")
-    groups = stored(rows.mapInArrow(run, "rid long, tie long, id long").groupBy("id").agg(F.min(F.struct("rid", "tie")).alias("first")), "near-groups")
-    common = common_shingles(rows, groups.count(), shingle)
-    keyed = prefixes(rows, common, shingle, similarity).repartition("s").dropDuplicates(["s", "id"])
-    live = stored(keyed.withColumn("c", F.count("*").over(Window.partitionBy("s"))).where("c > 1"), "near-shingles")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([compress(x.as_py().encode("utf-8")) for x in batch.column(2)], pa.binary())], ["rid", "tie", "z"])
+
+    rid, tie = _row_key(docs)
+    rows = docs.select(rid.alias("rid"), tie.alias("tie"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    groups = _groups(rows, shingle)
+    keys = groups.select("id", "n", "signs", F.explode("keys").alias("s"))
+    shared = stored(keys.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "near-keys")
+    live = stored(keys.join(shared, "s"), "near-live")
     asked = groups.join(live.select("id").distinct(), "id").select("id", "first.rid", "first.tie")
-    texts = stored(rows.join(asked, ["rid", "tie"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(squeezed, "id long, z binary"), "near-texts")
+    texts = stored(rows.mapInArrow(squeezed, "rid long, tie long, z binary").join(asked, ["rid", "tie"]).dropDuplicates(["id"]).select("id", "z"), "near-texts")
     tried = stored(centre_pairs(live, similarity), "near-candidates")
     links = stored(verified(tried, texts, shingle, similarity), "near-links")
     found = connected(links, "near-copies")
