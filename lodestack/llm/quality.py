@@ -6,7 +6,8 @@ verdicts() applies one to a stored ledger without measuring again. ablations() t
 aggregates of the ledger alone, how many documents each rule drops and how many it alone drops.
 
 Nulls, edges: a null or empty text has no words, so all measurements are 0 and the rule on few words fails;
-a null doc_id stays null; repeated rows keep a row each; an empty table gives no rows.
+a null doc_id stays null; repeated rows keep a row each; very long texts are measured whole; of equal lines the first is no duplicate; a measurement equal
+to its limit does not fail; other columns are not read, so none can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import SPACE, documents, id_text
+from lodestack.llm.common import SPACE, documents, id_text, stored
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -150,11 +151,18 @@ def ablations(kept_ledger: DataFrame, policy: Policy = STRICT) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = verdicts(ledger(documents(spark, sf_dir)))
+    kept = verdicts(stored(ledger(documents(spark, sf_dir)), "quality-ledger"))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "n_lines", "n_upper", "n_exclaim")
 
 
-ORACLE_SQL = r"""
+def ablations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both policies' ablations, from one stored ledger: nothing is measured twice."""
+    kept = stored(ledger(documents(spark, sf_dir)), "quality-ledger")
+    tables = [ablations(kept, p).withColumn("policy", F.lit(p.version)) for p in (BASE, STRICT)]
+    return tables[0].unionByName(tables[1])
+
+
+_JUDGED = r"""
 WITH base AS (
     SELECT doc_id, coalesce(text, '') AS text,
            list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
@@ -186,8 +194,16 @@ WITH base AS (
            + 64 * CAST(2 * n_upper > word_chars AS BIGINT)
            + 128 * CAST(5 * n_exclaim > n_words AS BIGINT) AS failed
     FROM measured
-)
+)"""
+ORACLE_SQL = f"""{_JUDGED}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed = 0 AS kept,
        failed, n_lines, n_upper, n_exclaim
 FROM judged
 """
+ABLATIONS_SQL = f"""{_JUDGED},
+policies AS (SELECT 'base-1' AS policy, 3 AS mask UNION ALL SELECT 'strict-1', 255),
+rules AS (SELECT CAST(1 << k AS BIGINT) AS bit, rule FROM (SELECT unnest(['few_words', 'repeated_words', 'symbols', 'duplicate_lines', 'short_words', 'long_words', 'upper_case', 'exclamations']) AS rule, unnest(range(8)) AS k)),
+applied AS (SELECT policy, failed & mask AS bits FROM judged, policies)
+SELECT policy, rule, bit, count(*) AS n_failed, count(*) FILTER (WHERE bits = bit) AS n_only_this, xor(bit_or(bits), bit) AS shared_with
+FROM applied JOIN rules ON bits & bit <> 0 GROUP BY policy, rule, bit
+"""

@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_repeats": suffix.query,
         "op9_bit_plane_output": planes.query,
         "op10_quality_ledger": quality.query,
+        "quality_ablations": quality.ablations_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_ledger": quality.ORACLE_SQL}
+    return {"op10_quality_ledger": quality.ORACLE_SQL, "quality_ablations": quality.ABLATIONS_SQL}
