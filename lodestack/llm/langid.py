@@ -5,13 +5,16 @@ length 1. The family is the best of one-versus-one machines between families; th
 of one-versus-one machines between the languages of that family. A language outside FAMILIES is a
 family of its own.
 
+Machines are fitted to the `languages` most frequent languages at most.
+
 Training reads text and language only of the rows it is given. It is fitted on a sample that the parameter
 `per_language` bounds (expected rows for each language, drawn by a hash of id and text); the numbers of rows by
 language, which set the sampling rates, are counted over all of them.
 
 Nulls, edges: a text that is null or has no letter gets `und` and score 0; without training rows every text
 does; rows without a language are not learned from; a null doc_id is in no fold (held_out false, not learned from); repeated rows
-keep a row each; an empty table gives no rows.
+keep a row each; very long texts are read whole, into counts; of languages that win as many duels the surer stays, then the first by name; other columns
+than text, lang and doc_id are not read, so none can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ FAMILIES = {
     "turkic": "tr az kk uz".split(),
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
-DIMS, PER_LANGUAGE, EPOCHS, PENALTY = 4096, 400, 30, 1e-4
+DIMS, PER_LANGUAGE, LANGUAGES, EPOCHS, PENALTY = 4096, 400, 100, 30, 1e-4
 FOLDS, HELD_OUT = 5, 0
 LETTER = re.compile(r"[^\W\d_]")
 _FOLD_CASE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -122,10 +125,10 @@ class Model:
         return language, p * q
 
 
-def fit(training: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of the languages in training (doc_id, text, lang), from about per_language rows of each."""
+def fit(training: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+    """A model of the languages in training (doc_id, text, lang), from about per_language rows of each of the most frequent ones."""
     rows = training.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_language / n))]) if counts else None
     if rate is None:
         return Model(None, {})

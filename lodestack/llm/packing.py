@@ -8,7 +8,8 @@ of unfilled room in memory. What is open at the end of a task is strung together
 into powers of two, which need no padding.
 
 Nulls, edges: a null or empty text is the end id alone; a null doc_id stays null; repeated rows are packed
-as documents of their own; an empty table gives no rows.
+as documents of their own; a very long text fills whole sequences first; of open bins the one last left short is filled first; other columns are not
+read, so none can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations

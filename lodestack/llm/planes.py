@@ -9,8 +9,8 @@ Payload: `BPS1`, one byte for the mode (0 byte planes, 1 bit planes), one byte f
 (planes above the largest id are not stored), the number of ids and each plane's compressed length as
 little-endian unsigned 32-bit integers, then the planes, lowest first.
 
-Nulls, edges: a null or empty text is the end id alone; null doc_ids come first; repeated rows each keep their
-own ids; an empty table gives no rows.
+Nulls, edges: a null or empty text is the end id alone; null doc_ids come first; rows of one doc_id are ordered by a hash of the text, equal ones as they are
+read, and each keeps its own ids; very long texts are cut over blocks; other columns are not read, so none can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from lodestack.llm.common import documents, fresh_path, id_text
 from lodestack.llm.tokens import ID, default_path, encoder
 
-END_ID, BLOCK_IDS = 0, 65_536
+END_ID, BLOCK_IDS, MAX_SHARDS = 0, 65_536, 100_000
 MAGIC = b"BPS1"
 CHUNKS = "shard int, block int, first_id long, n_ids int, doc_ids array<long>, doc_starts array<long>, doc_tokens array<long>, doc_offsets array<long>, payload binary"
 
@@ -115,8 +115,8 @@ def write_planes(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         if held:
             yield chunk()
 
-    rows = id_text(docs)
-    key = [F.col("doc_id"), F.xxhash64("text")]  # repeated doc_ids may be split; equal rows are interchangeable
+    rows = id_text(docs).withColumn("row", F.monotonically_increasing_id())
+    key = [F.col("doc_id"), F.xxhash64("text"), F.col("row")]  # so that rows of one doc_id, and equal rows, can be dealt over several shards
     rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(run, CHUNKS).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -158,7 +158,9 @@ def read_planes(spark: SparkSession, path: str) -> DataFrame:
         .agg(F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
         .select("shard", "doc_start", "doc_id", "n_tokens", joined("parts").alias("ids_crc32"))
     )
-    return whole.unionByName(cut).join(F.broadcast(shards), "shard").select("doc_id", (F.col("shard_start") + F.col("doc_start")).alias("start"), "n_tokens", "ids_crc32")
+    if shards.limit(MAX_SHARDS + 1).count() <= MAX_SHARDS:  # as many as the exchange that wrote them has partitions
+        shards = F.broadcast(shards)
+    return whole.unionByName(cut).join(shards, "shard").select("doc_id", (F.col("shard_start") + F.col("doc_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

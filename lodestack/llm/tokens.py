@@ -38,7 +38,7 @@ def _plain(letter: str) -> bool:
 class MemoEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers. max_entries bounds the memory of the remembered chunks."""
 
-    def __init__(self, path: str, max_entries: int = 1_000_000):
+    def __init__(self, path: str, max_entries: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are what runs side by side
