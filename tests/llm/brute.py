@@ -63,7 +63,7 @@ def guess_cost(value):
                 costs.append(math.log10(95) * unit * 0.8 + math.log10(whole))
         ways = [step(a, b) for a, b in zip(value[i:j], value[i + 1 : j])]
         if size >= 3 and None not in ways and (j == n or step(value[j - 1], value[j]) is None):
-            costs.append(math.log10(47 * size) + math.log10(5) * sum(a != b for a, b in zip(ways, ways[1:])))
+            costs.append(math.log10(45 * size) + math.log10(5) * sum(a != b for a, b in zip(ways, ways[1:])))
         return min(costs)
 
     best = [{0: 0.0}]

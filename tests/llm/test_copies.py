@@ -136,8 +136,27 @@ def test_all_copies_of_a_hub_are_found(spark):
 def test_repeats(spark, keep, group):
     shared, edge = prose(70, 120), prose(71, 70)
     texts = TEXTS[:14] + [prose(k, 60) + shared + prose(k + 9, 60) for k in range(6)] + [f"{k}" + edge + f"{k}" for k in range(6)] + ["ab" * 700, "é" * 500, shared + shared]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs(spark, texts), keep=keep, group=group).collect()}
-    assert got == dict(enumerate(brute.repeats(texts, 400, keep)))
+    texts += ["a b c d " * 40, "a b c d " * 30 + "x", "\n".join([prose(72, 60)] * 2), prose(73, 55), "x " + prose(73, 55) + " y"]
+    rows = suffix.remove_repeats(docs(spark, texts), keep=keep, group=group).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == dict(enumerate(brute.repeats(texts, 400, keep)))
+    assert {r.doc_id: r.n_passages for r in rows} == dict(enumerate(brute.passages(texts)))
+
+
+def test_one_of_equal_rows_is_the_first(spark):
+    x = prose(5, 200)
+    rows = spark.createDataFrame([(1, x), (1, x), (1, x), (2, x), (None, x), (None, x), (7, None)], "doc_id long, text string")
+    for keep, kept in (("first", [None]), ("none", [])):
+        got = suffix.remove_repeats(rows, keep=keep).collect()
+        assert [r.doc_id for r in got if r.n_bytes and not r.n_removed] == kept and len(got) == 7
+
+
+def test_longest_previous_factors():
+    r = np.random.default_rng(0)
+    for n in (1, 5, 80):
+        windows = np.lib.stride_tricks.sliding_window_view(r.integers(0, 3, n + 5, dtype=np.uint8), 6)
+        shared = lambda a, b: next((k for k in range(6) if a[k] != b[k]), 6)
+        want = [max([shared(windows[i], windows[j]) for j in range(i)], default=0) for i in range(n)]
+        assert suffix.longest_previous_factors(*suffix.suffix_order(windows), 6).tolist() == want
 
 
 def plain_leaks(texts, items):
@@ -151,6 +170,28 @@ def plain_leaks(texts, items):
     return found
 
 
+def test_wand_finds_all_and_skips(monkeypatch):
+    r = random.Random(6)
+    pool = [f"w{k}" for k in range(1500)]
+    items = [(k, " ".join(r.choices(pool, k=r.randint(5, 40)))) for k in range(400)]
+    index = decontaminate.Index(items)
+    passages = [sorted({index.terms[w.encode()] for w in (items[k][1].split() if k < 50 else r.choices(pool, k=80)) if w.encode() in index.terms}) for k in range(120)]
+    want = {}
+    for p, terms in enumerate(passages):
+        for t in terms:
+            for at in range(index.item_at[t], index.item_at[t + 1]):
+                want[p, int(index.items[at])] = want.get((p, int(index.items[at])), 0.0) + index.impacts[at]
+    opened = []
+    monkeypatch.setattr(decontaminate.Index, "in_block", lambda self, terms, block, threshold, f=decontaminate.Index.in_block: opened.append(block) or f(self, terms, block, threshold))
+    flat = [np.array([x for p, terms in enumerate(passages) for x in (v(p, t) for t in terms)]) for v in (lambda p, t: p, lambda p, t: t)]
+    for cells in (10**6, 500):  # all passages at once, a few at a time
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        opened.clear()
+        got = {(p, i): s for p, i, s in index.search(*flat, len(passages), 0.5)}
+        assert {k: round(v, 9) for k, v in got.items()} == {k: round(float(v), 9) for k, v in want.items() if v >= 0.5 - 1e-9} and len(got) >= 50
+        assert 0 < len(opened) < 0.5 * index.n_blocks * len(passages)
+
+
 def test_leaks(spark):
     items = ITEMS + [prose(200 + k, 40) for k in range(40)] + [""]
     r = random.Random(5)
