@@ -3,12 +3,15 @@
 A value that follows a credential word and a separator is scored by the fewest guesses that would reach it:
 dynamic programming over its characters finds the cheapest segmentation into common words, dates, repeats,
 keyboard walks and brute-force spans; the cost of a segmentation is the product of its parts' guesses times the
-factorial of their number. Values that take at least `min_log10` guesses are reported as `guess` spans, beside
+factorial of their number. Words are ranked: first those that attackers try first, then the corpus's own most frequent words, counted over all documents
+(`learn_words`, `size` of them at most). Repeats have any period (one over 40 is beyond the ceiling by its length alone); repeats and keyboard walks are taken to their end.
+Values that take at least `min_log10` guesses are reported as `guess` spans, beside
 the fixed patterns' own spans, which always stay; only one that lies within an `assign` span is not told again. A low score on a fixed pattern's value is told in `weak`, not
 used to drop it.
 
 Nulls, edges: a null or empty text has no spans; a null doc_id stays null; repeated rows keep a row each; an
-empty table gives no rows. Values are scored whole, whatever their length; costs are told up to CEILING.
+empty table gives no rows. Values are scored whole, whatever their length; costs are told up to CEILING. Words of equal count rank in
+alphabetical order; segmentations of equal cost give that cost; of overlapping matches of one kind the leftmost stays; other columns are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -18,14 +21,13 @@ import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import documents, id_text
+from lodestack.llm.common import documents, id_text, stored
 
 
 def _either_case(words: str) -> str:
@@ -43,7 +45,8 @@ CONTEXT = re.compile(
 )
 MIN_VALUE, MIN_LOG10 = 6, 10.0
 CEILING = 64.0  # costs are told up to this one: no guesser comes near
-UNITS, CUT_WALK = (1, 2, 3, 4), 32  # lengths that repeat; a longer walk is taken whole or as its first characters up to CUT_WALK
+WORDS, SHORTEST, LONGEST = 20_000, 4, 24  # how many of the corpus's words are ranked, and their lengths
+UNITS = range(1, 41)  # periods of repeats: the unit of a longer one alone takes guesses beyond the ceiling
 
 #: Words that attackers try first, most likely first.
 COMMON_WORDS = (
@@ -52,15 +55,24 @@ COMMON_WORDS = (
     "love iloveyou summer winter spring autumn server default system example sample temp public private "
     "database oracle mysql postgres redis docker cloud service account owner my the your new old"
 ).split()
-#: Keyboard rows.
-ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+#: A keyboard's rows, plain and shifted; each row stands half a key to the right of the one above.
+ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+SHIFTED = ("!@#$%^&*()_+", "QWERTYUIOP{}", "ASDFGHJKL:\"", "ZXCVBNM<>?")
+#: Months as dates name them, in the four languages.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec mai okt dez ene abr ago dic fev avr juin juil aout".split()
 #: Letters that other characters stand for.
 LEET = str.maketrans("@4310$57!", "aaeiosst" + "i")
 
 _RANK = {w: k + 1 for k, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
-_STEPS = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[1:], row)]}
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
+_PLACE = {c: (r, k) for rows in (ROWS, SHIFTED) for r, row in enumerate(rows) for k, c in enumerate(row)}
+_TURN = {(0, 1): 0, (0, -1): 1, (1, 0): 2, (1, -1): 3, (-1, 0): 4, (-1, 1): 5}  # a step's direction: along a row, or to a key that touches in the next
+_YEAR, _DAY, _MONTH = "(?:19|20)[0-9]{2}", "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])"
+#: Dates by form and log10 of how many there are: a year, month and day in any order with years of two or four digits, a named month with day or year.
+_DATES = [
+    (re.compile(_YEAR), 2.0),
+    *((re.compile(f"{a}[-/.]?{b}[-/.]?{c}"), math.log10(365 * 100)) for y in (_YEAR, "[0-9]{2}") for a, b, c in ((y, _MONTH, _DAY), (_DAY, _MONTH, y), (_MONTH, _DAY, y))),
+    *((re.compile(f"{_DAY}?[-/.]?(?:{'|'.join(MONTHS)})[a-z]{{0,6}}?[-/.]?{y}", re.IGNORECASE), math.log10(365 * 100)) for y in (_YEAR, "[0-9]{2}")),
+]
 _LOG_FACTORIAL = np.array([x for k in range(200) if (x := math.lgamma(k + 1) / math.log(10)) < CEILING])  # more parts reach the ceiling by their order alone
 
 
@@ -71,41 +83,57 @@ def _alphabet(value: str) -> int:
 class _Parts:
     """The parts of a value that are cheaper than brute force may be, by where they start."""
 
-    def __init__(self, value: str):
-        self.value, self.n = value, len(value)
+    def __init__(self, value: str, ranks: dict[str, int]):
+        self.value, self.n, self.ranks = value, len(value), ranks
         self.lower = value.lower() if value.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
         self.plain = self.lower.translate(LEET)
-        codes = np.fromiter(map(ord, value), np.int32, self.n)
-        self.breaks = {unit: np.flatnonzero(codes[unit:] != codes[:-unit]) for unit in UNITS}  # where the period ends
-        self.turns = np.array([k for k in range(1, self.n) if (self.lower[k - 1], self.lower[k]) not in _STEPS], np.int64)  # where a walk ends
+        self.repeats = self._repeats(np.fromiter(map(ord, value), np.int32, self.n))
+        self.walk_end, self.turns = self._walks()
 
-    @staticmethod
-    def _next(places: np.ndarray, at: int, default: int) -> int:
-        k = int(np.searchsorted(places, at))
-        return int(places[k]) if k < len(places) else default
+    def _repeats(self, codes: np.ndarray) -> dict[int, list[tuple[int, float]]]:
+        out: dict[int, list[tuple[int, float]]] = {}
+        for unit in UNITS:
+            m = self.n - unit  # places compared with the one a unit later
+            if m < unit:
+                break
+            apart = codes[unit:] != codes[:-unit]
+            if apart.all():
+                continue
+            ends = np.minimum.accumulate(np.where(apart, np.arange(m), m)[::-1])[::-1]  # where the period that holds here ends
+            copies = 1 + (ends - np.arange(m)) // unit
+            for i in np.flatnonzero(copies * unit >= max(3, 2 * unit)).tolist():
+                n = int(copies[i])
+                out.setdefault(i, []).append((i + n * unit, math.log10(95) * unit * 0.8 + math.log10(n)))
+        return out
+
+    def _walks(self) -> tuple[list[int], list[int]]:
+        """For each place the end of the walk that goes on from it, and how often walks have turned up to it."""
+        steps = [_TURN.get((b[0] - a[0], b[1] - a[1])) if (a := _PLACE.get(x)) and (b := _PLACE.get(y)) else None for x, y in zip(self.value, self.value[1:])]
+        ends, turns = [self.n] * self.n, [0] * (self.n + 1)
+        for i in range(self.n - 2, -1, -1):
+            ends[i] = i + 1 if steps[i] is None else ends[i + 1]
+        for i in range(1, len(steps)):
+            turns[i + 1] = turns[i] + (steps[i] != steps[i - 1])
+        return ends, turns
 
     def at(self, i: int) -> Iterator[tuple[int, float]]:
         """(end, log10 guesses) of each part that starts at i."""
         n, lower, plain, value = self.n, self.lower, self.plain, self.value
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(plain[i:j])
+        for j in range(i + 2, min(n, i + LONGEST) + 1):
+            rank = self.ranks.get(plain[i:j])
             if rank:
                 extra = (lower[i:j] != value[i:j]) + (plain[i:j] != lower[i:j])
                 yield j, math.log10(rank * 2**extra + 1)
-        if found := _DATE.match(value, i):
-            yield found.end(), math.log10(365 * 100) if found.end() - i > 4 else 2.0
-        for unit in UNITS:
-            if i + 2 * unit > n:
-                break
-            copies = 1 + (self._next(self.breaks[unit], i, n - unit) - i) // unit
-            if copies * unit >= max(3, 2 * unit):
-                yield i + copies * unit, math.log10(95) * unit * 0.8 + math.log10(copies)
-        end = self._next(self.turns, i + 1, n)
-        for j in {*range(i + 3, min(end, i + CUT_WALK) + 1), *([end] if end >= i + 3 else [])}:
-            yield j, math.log10(40 * 2 * (j - i))
+        for form, cost in _DATES:
+            if found := form.match(value, i):
+                yield found.end(), cost
+        yield from self.repeats.get(i, ())
+        end = self.walk_end[i]
+        if end >= i + 3:
+            yield end, math.log10(len(_PLACE) / 2 * (end - i)) + math.log10(5) * (self.turns[end - 1] - self.turns[i + 1])
 
 
-def cheapest(value: str) -> float:
+def cheapest(value: str, ranks: dict[str, int] = _RANK) -> float:
     """log10 of the guesses that the cheapest segmentation of value takes, CEILING if it is that or more.
 
     best[k]: the least cost of the characters so far in k parts; brute[k]: of those, where the last part is brute
@@ -115,7 +143,7 @@ def cheapest(value: str) -> float:
     n = len(value)
     if not n:
         return 0.0
-    parts, step = _Parts(value), math.log10(_alphabet(value))
+    parts, step = _Parts(value, ranks), math.log10(_alphabet(value))
     none = np.full(len(_LOG_FACTORIAL), np.inf)
     best, brute = none.copy(), none
     best[0] = 0.0
@@ -135,15 +163,45 @@ def cheapest(value: str) -> float:
     return min(CEILING, float((best + _LOG_FACTORIAL).min()))
 
 
-_remembered = lru_cache(maxsize=65_536)(cheapest)
+class Guesser:
+    """cheapest() with the ranks of words learned from a corpus, after those of COMMON_WORDS; short values' costs are remembered."""
 
+    def __init__(self, words: list[str] | tuple[str, ...] = ()):
+        self.ranks = dict(_RANK)
+        for w in words:
+            self.ranks.setdefault(w.translate(LEET), len(self.ranks) + 1)
+        self.known: dict[str, float] = {}
 
-def guess_cost(value: str) -> float:
-    """cheapest(value), with short values' results remembered."""
-    return _remembered(value) if len(value) <= 128 else cheapest(value)
+    def __call__(self, value: str) -> float:
+        found = self.known.get(value)
+        if found is None:
+            found = cheapest(value, self.ranks)
+            if len(value) <= 128 and len(self.known) < 65_536:
+                self.known[value] = found
+        return found
 
 
-def scan(text: str, min_log10: float = MIN_LOG10) -> tuple[list[tuple[int, int, int]], float | None, int]:
+guess_cost = Guesser()
+
+
+def learn_words(docs: DataFrame, size: int = WORDS) -> list[str]:
+    """The most frequent words of SHORTEST to LONGEST letters a to z over all documents, down to the count at which there are `size` of them at most.
+
+    That count follows from how many words have each count; the driver gets a row for each of the highest counts, then the words.
+    """
+    words = id_text(docs).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w").between(SHORTEST, LONGEST))
+    counts = stored(words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "secret-words")
+    least, taken = None, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).limit(size).collect():
+        taken += r["c"]
+        if taken > size:
+            break
+        least = r["n"]
+    found = counts.where(F.col("n") >= least).collect() if least else []
+    return [r["w"] for r in sorted(found, key=lambda r: (-r["n"], r["w"]))]
+
+
+def scan(text: str, min_log10: float = MIN_LOG10, cost_of: Guesser = guess_cost) -> tuple[list[tuple[int, int, int]], float | None, int]:
     """((kind number, start, end) of every span, the hardest value's log10 guesses, weak values)."""
     spans, hardest, weak = [], None, 0
     taken = []
@@ -152,14 +210,14 @@ def scan(text: str, min_log10: float = MIN_LOG10) -> tuple[list[tuple[int, int,
             if m.end(1) - m.start(1) >= MIN_VALUE:
                 spans.append((0, m.start(), m.end()))
                 taken.append(m.span())
-                cost = guess_cost(m[1])
+                cost = cost_of(m[1])
                 hardest, weak = max(hardest or 0.0, cost), weak + (cost < min_log10)
     if "AKIA" in text:
         spans += [(1, *m.span()) for m in ACCESS.finditer(text)]
     spans += [(2, *m.span()) for m in HEX.finditer(text)]
     if ":" in text or "=" in text:
         for m in CONTEXT.finditer(text):
-            cost = guess_cost(m[1])
+            cost = cost_of(m[1])
             hardest = max(hardest or 0.0, cost)
             k = bisect_right(taken, m.start(), key=lambda x: x[1])  # the first that ends beyond this one's start
             if cost >= min_log10:
@@ -177,14 +235,15 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def find_secrets(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
-    """A row for each document, of SCHEMA. Spans are kind:start:end in code points, by start, then kind."""
+def find_secrets(docs: DataFrame, min_log10: float = MIN_LOG10, words: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document, of SCHEMA. Spans are kind:start:end in code points, by start, then kind. words: ranked ones, as of learn_words."""
+    cost_of = Guesser(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                spans, hardest, weak = scan(text.as_py(), min_log10)
+                spans, hardest, weak = scan(text.as_py(), min_log10, cost_of)
                 spans.sort(key=lambda s: (s[1], s[0]))
                 base = [s for s in spans if s[0] < 3]
                 counts = [sum(s[0] == k for s in spans) for k in range(5)]
@@ -196,9 +255,9 @@ def find_secrets(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
     return id_text(docs).mapInArrow(run, SCHEMA)
 
 
-def redacted(text: str, min_log10: float = MIN_LOG10, mark: str = "[SECRET]") -> str:
+def redacted(text: str, min_log10: float = MIN_LOG10, mark: str = "[SECRET]", cost_of: Guesser = guess_cost) -> str:
     """The text with every span, joined where they overlap, replaced by mark."""
-    spans, _, _ = scan(text, min_log10)
+    spans, _, _ = scan(text, min_log10, cost_of)
     if not spans:
         return text
     out, at = [], 0
@@ -209,16 +268,18 @@ def redacted(text: str, min_log10: float = MIN_LOG10, mark: str = "[SECRET]") ->
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
+def redact_secrets(docs: DataFrame, min_log10: float = MIN_LOG10, words: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """docs with secrets in text replaced, and n_chars, if there is such a column, counted anew. A null text stays null."""
+    cost_of = Guesser(words)
 
     @F.pandas_udf("string")
     def clean(texts):
-        return texts.map(lambda t: None if t is None else redacted(t, min_log10))
+        return texts.map(lambda t: None if t is None else redacted(t, min_log10, cost_of=cost_of))
 
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return find_secrets(docs, words=learn_words(docs))
