@@ -5,16 +5,18 @@ BM25 weight divided by the item's score against itself, so that a passage holdin
 index has, for each term, postings by item and, for blocks of `block` items, the largest impact in the block.
 A document is read in overlapping passages of twice the longest item's words, so that each copy lies whole in
 one. For each passage, terms whose largest impacts sum to at most `slack` are left for the second step;
-the others' block maxima add up to a bound, and only blocks whose bound plus slack reaches `threshold` have
-their items scored exactly. All items at or above the threshold are verified: of the item's question (its
+the others' block maxima add up to a bound, in arrays for many passages at once, and only blocks whose bound plus slack reaches `threshold` are opened.
+In an open block a cursor for each of the passage's terms goes along the postings, in the order of their items: the pivot is the first item up to which the
+block maxima sum to the threshold, and only there is an item scored; cursors before it skip to it. All items at or above the threshold are verified: of the item's question (its
 sentences but the last) and answer (its last sentence), each as word 5-grams, the passage must hold
-`overlap` or more. Passages are processed in bulk: sums over (passage, block) and (passage, item), in arrays.
+`overlap` or more.
 
 The items go to the tasks as a broadcast of at most `max_index_chars` characters; more items make more indexes of
-that size, each read against all documents. Term statistics are those of the index an item is in.
+that size, each read against all documents. Term statistics are those of all items, counted on Spark.
 
 Nulls, edges: null or empty texts and items match nothing; null doc_ids are kept apart as null; repeated rows
-each give their own pairs; an item without words is never found; empty tables give no rows.
+each give their own pairs; an item without words is never found; very long texts are read whole, in slices of at most about CELLS bounds; a score equal to
+the threshold is a hit, and of a document's passages with one item the best score is told; other columns are not read, so none can clash; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -68,15 +70,15 @@ def overlap(part: list[bytes], passage: list[bytes], n: int = NGRAM) -> float:
 class Index:
     """BM25 postings of the items, with block maxima, as arrays over terms (compressed rows)."""
 
-    def __init__(self, items: list[tuple[int | None, str]], block: int = BLOCK, slack: float = SLACK):
+    def __init__(self, items: list[tuple[int | None, str]], block: int = BLOCK, slack: float = SLACK, statistics: tuple[int, float, dict[bytes, int]] | None = None):
+        """statistics: items in all, their mean length and each term's number of items; those of the given items unless told."""
         words = [(i, t, words_of(t)) for i, t in items]
         words = sorted(((i, t, w) for i, t, w in words if w), key=lambda x: len(x[2]))  # alike lengths share blocks: tighter maxima
         self.ids, self.texts = [x[0] for x in words], [x[1] for x in words]
         self.longest, self.block = max((len(x[2]) for x in words), default=0), block
-        counts, n = [Counter(x[2]) for x in words], len(words)
-        df = Counter(t for c in counts for t in c)
-        self.terms = {t: k for k, t in enumerate(sorted(df))}
-        mean = sum(len(x[2]) for x in words) / max(n, 1)
+        counts = [Counter(x[2]) for x in words]
+        n, mean, df = statistics or (len(words), sum(len(x[2]) for x in words) / max(len(words), 1), Counter(t for c in counts for t in c))
+        self.terms = {t: k for k, t in enumerate(sorted({t for c in counts for t in c}))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for item, c in enumerate(counts):
             room = K1 * (1 - B + B * sum(c.values()) / mean)
@@ -84,7 +86,7 @@ class Index:
             whole = sum(weights.values())
             for t, w in weights.items():
                 postings[self.terms[t]].append((item, w / whole))
-        self.n_blocks = -(-n // block)
+        self.n_blocks = -(-len(words) // block)
         by_block = []
         for p in postings:
             best: dict[int, float] = {}
@@ -112,26 +114,51 @@ class Index:
         of = np.repeat(np.arange(len(rows)), n)
         return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + at[rows][of]
 
+    def in_block(self, terms: list[int], block: int, threshold: float) -> Iterator[tuple[int, float]]:
+        """(item, score) of the block's items that reach the threshold, by WAND with the block's maxima. terms: distinct, with a posting in the block."""
+        cursors = []  # [item under the cursor, its place, the end of the block's postings, the block's maximum]
+        for t in terms:
+            a, b = int(self.item_at[t]), int(self.item_at[t + 1])
+            at, end = (a + int(np.searchsorted(self.items[a:b], k * self.block)) for k in (block, block + 1))
+            if at < end:
+                cursors.append([int(self.items[at]), at, end, float(self.impacts[at:end].max())])
+        while cursors:
+            cursors.sort()
+            most, pivot = 0.0, None
+            for item, _, _, top in cursors:
+                most += top
+                if most >= threshold - 1e-9:
+                    pivot = item
+                    break
+            if pivot is None:
+                return
+            if cursors[0][0] == pivot:
+                score = sum(float(self.impacts[c[1]]) for c in cursors if c[0] == pivot)
+                if score >= threshold - 1e-9:
+                    yield pivot, score
+                pivot += 1
+            for c in cursors:  # those before the pivot skip to it
+                while c[0] < pivot:
+                    c[1] += 1
+                    c[0] = int(self.items[c[1]]) if c[1] < c[2] else len(self.ids)
+            cursors = [c for c in cursors if c[1] < c[2]]
+
     def search(self, passage: np.ndarray, term: np.ndarray, n_passages: int, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float]]:
         """(passage, item, score) of all scores that reach the threshold. passage, term: each passage's distinct terms, sorted by passage."""
+        step = max(1, CELLS // max(1, self.n_blocks))
+        for begin in range(0, n_passages, step):
+            rows = slice(*np.searchsorted(passage, [begin, begin + step]).tolist())
+            yield from self._slice(passage[rows] - begin, term[rows], min(step, n_passages - begin), begin, threshold)
+
+    def _slice(self, passage: np.ndarray, term: np.ndarray, n_passages: int, begin: int, threshold: float) -> Iterator[tuple[int, int, float]]:
         keep = self.essential[term]
         of, at = self._spread(self.block_at, term[keep])
         bound = np.bincount(passage[keep][of] * self.n_blocks + self.blocks[at], self.maxima[at], n_passages * self.n_blocks)
-        cells = np.flatnonzero(bound >= threshold - self.slack - 1e-9)
-        if not len(cells):
-            return
-        open_cells = np.zeros(len(bound), bool)
-        open_cells[cells] = True
-        some = np.zeros(n_passages, bool)
-        some[cells // self.n_blocks] = True
-        rows = np.flatnonzero(some[passage])
-        of, at = self._spread(self.item_at, term[rows])
-        p, item, w = passage[rows][of], self.items[at], self.impacts[at]
-        keep = open_cells[p * self.n_blocks + item // self.block]
-        key, index = np.unique(p[keep] * len(self.ids) + item[keep], return_inverse=True)
-        score = np.bincount(index, w[keep], len(key))
-        for k in np.flatnonzero(score >= threshold - 1e-9):
-            yield int(key[k] // len(self.ids)), int(key[k] % len(self.ids)), float(score[k])
+        for cell in np.flatnonzero(bound >= threshold - self.slack - 1e-9).tolist():
+            p, block = divmod(cell, self.n_blocks)
+            mine = slice(*np.searchsorted(passage, [p, p + 1]).tolist())
+            for item, score in self.in_block(term[mine].tolist(), block, threshold):
+                yield begin + p, item, score
 
 
 def find_in_texts(texts: list[str], index: Index, threshold: float = THRESHOLD, least: float = OVERLAP) -> list[tuple[int, int, float, float, float]]:
@@ -181,9 +208,27 @@ def _indexes(items: DataFrame, max_index_chars: int) -> Iterator[Index]:
     rows = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].alias("text")).where("text IS NOT NULL")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-total // max_index_chars)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts))))
+    if parts <= 1:
+        got = rows.orderBy("item_id", "text").collect()
+        if got:
+            yield Index([(r["item_id"], r["text"]) for r in got])
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t.as_py()) for t in batch.column(1)]
+            terms = [sorted(set(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), pa.array(terms, pa.list_(pa.binary()))], ["part", "n", "terms"])
+
+    read = rows.select("part", "text").mapInArrow(run, "part long, n long, terms array<binary>").where("n > 0")
+    size = read.agg(F.count("*").alias("items"), F.avg("n").alias("mean")).first()
+    terms = read.select("part", F.explode("terms").alias("term"))
+    df = terms.groupBy("term").agg(F.count("*").alias("n"))
     for k in range(parts):
-        got = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], r["text"]) for r in got])
+        known = {bytes(r["term"]): r["n"] for r in terms.where(F.col("part") == k).select("term").distinct().join(df, "term").collect()}  # of one index's items
+        got = rows.where(F.col("part") == k).orderBy("item_id", "text").collect()
+        yield Index([(r["item_id"], r["text"]) for r in got], statistics=(size["items"], size["mean"], known))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP, max_index_chars: int = MAX_INDEX_CHARS) -> DataFrame:
