@@ -27,6 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies stays (word 5-shingles, similarity 0.8): that of the least doc_id, a null one first, then by a hash of the row.
 
+    Candidates come from op6's fingerprints and pigeonhole search, and from min-hash sketches for what its 64 bits do not tell; whole texts decide.
     Texts without words (null, empty, blank) are copies of one another; of rows equal in all columns one stays; long texts are compared whole.
     """
     return simhash.keep_one_of_each(docs, shingle=5, similarity=0.8)

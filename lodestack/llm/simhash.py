@@ -49,6 +49,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], "<u8")
+    return most_set(hashes)
+
+
+def most_set(hashes: np.ndarray) -> int:
+    """The fingerprint of these hashes ("<u8"): each bit that is set in over half of them."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -188,7 +193,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity: texts whose min-hash sketches agree in a whole partition are candidates, their whole shingle sets decide.
+# Near copies by similarity: texts whose fingerprints are within the distance, or whose min-hash sketches agree in a whole partition, are candidates; their whole shingle sets decide.
 
 PARTS, PART = 96, 8  # partitions of a sketch and symbols in each: a pair at similarity 0.8 is missed with probability (1 - 0.8 ** 8) ** 96 < 3e-8
 SIGNS, MAX_APART = 256, 60  # one bit of so many symbols; at similarity 0.8 as many as 26 differ on average, more than 60 with probability under 1e-10
@@ -242,12 +247,12 @@ def partition_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(rows: DataFrame, shingle: int) -> DataFrame:
-    """id, first (rid and tie), n (distinct shingles), keys (of its sketch's partitions) and signs for each distinct text of rows (rid, tie, text)."""
+    """id, first (rid and tie), n (distinct shingles), fp (their fingerprint), keys (of its sketch's partitions) and signs for each distinct text of rows (rid, tie, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # a text's sketch is told once in a task
         for batch in batches:
-            names, sizes, keys, signs = [], [], [], []
+            names, sizes, fps, keys, signs = [], [], [], [], []
             for t in batch.column(2):
                 text = t.as_py()
                 names.append(same_words(text))
@@ -255,20 +260,21 @@ def _groups(rows: DataFrame, shingle: int) -> DataFrame:
                 seen.add(names[-1])
                 hashes = shingle_hashes(text, shingle) if new else ()
                 sizes.append(len(hashes) if new else None)
+                fps.append(np.uint64(most_set(hashes)).astype(np.int64) if len(hashes) else None)
                 key, sign = partition_keys(hashes) if len(hashes) else (None, None)
                 keys.append(key)
                 signs.append(sign)
             halves = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, signs))],
-                ["rid", "tie", "w0", "w1", "n", "keys", "signs"],
+                [batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, signs))],
+                ["rid", "tie", "w0", "w1", "n", "fp", "keys", "signs"],
             )
 
-    marked = rows.mapInArrow(run, "rid long, tie long, w0 long, w1 long, n int, keys array<long>, signs array<long>")
+    marked = rows.mapInArrow(run, "rid long, tie long, w0 long, w1 long, n int, fp long, keys array<long>, signs array<long>")
     first = lambda c: F.first(c, ignorenulls=True).alias(c)
-    found = marked.groupBy("w0", "w1").agg(F.min(F.struct("rid", "tie")).alias("first"), F.max("n").alias("n"), first("keys"), first("signs"))
+    found = marked.groupBy("w0", "w1").agg(F.min(F.struct("rid", "tie")).alias("first"), F.max("n").alias("n"), F.max("fp").alias("fp"), first("keys"), first("signs"))
     signs = F.struct(*[F.col("signs")[k].alias(f"s{k}") for k in range(SIGNS // 64)]).alias("signs")
-    return stored(found.select(F.monotonically_increasing_id().alias("id"), "first", "n", "keys", signs), "near-groups")
+    return stored(found.select(F.monotonically_increasing_id().alias("id"), "first", "n", "fp", "keys", signs), "near-groups")
 
 
 def _may_be_near(a: str, b: str, similarity: float):
@@ -282,6 +288,16 @@ def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(f"{a}.id", f"{b}.id").alias("a"), F.greatest(f"{a}.id", f"{b}.id").alias("b")).distinct()
 
 
+def alike_pairs(groups: DataFrame) -> DataFrame:
+    """Candidates (a, b) by the pigeonhole search: texts of one fingerprint with the least of them, and those of links between fingerprints."""
+    marked = groups.where("fp IS NOT NULL").select("id", "fp")
+    least = stored(marked.groupBy("fp").agg(F.min("id").alias("id")), "near-fingerprints")
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("id").alias(f"{c}_id"))
+    met = links(least).join(of("a"), "a").join(of("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    same = marked.join(of("fp"), "fp").where("id <> fp_id").select(F.col("fp_id").alias("a"), F.col("id").alias("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same)
+
+
 def centre_pairs(live: DataFrame, similarity: float) -> DataFrame:
     """Candidates (a, b): for each key of live (s, id, n, signs, c: its texts) its most shared text against all others, linear in the rows.
 
@@ -336,9 +352,10 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """docs with one row, that of the least doc_id (nulls first, then by a hash of the row), of each group of exact and near copies; all columns stay.
 
     Near copies are texts whose sets of word shingles have this Jaccard similarity or more; groups are the components of all such pairs.
-    Texts are sketched by PARTS * PART min-hash symbols in partitions of PART; two sketches that agree in a whole partition make a
+    Texts whose fingerprints (of distinct shingles) are found within DISTANCE by the pigeonhole search are candidates. So many bits do not tell most pairs at a similarity
+    like 0.8 from others, so further candidates are sought: texts are sketched by PARTS * PART min-hash symbols in partitions of PART; two sketches that agree in a whole partition make a
     candidate pair (pigeonhole: fewer than PARTS symbols apart they must, further apart they do with the probability told above), unless MAX_APART rules it out.
-    First each key's most shared text is tried against its others, then every pair that shares a key and is
+    First the fingerprints' candidates are tried, and each key's most shared text is tried against its others, then every pair that shares a key and is
     not in one group yet, so that a large group is not tried pair by pair. Every candidate is verified on its whole texts;
     texts with the same words (ASCII letters lower-cased) are copies.
 
@@ -357,9 +374,10 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     keys = groups.select("id", "n", "signs", F.explode("keys").alias("s"))
     shared = stored(keys.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "near-keys")
     live = stored(keys.join(shared, "s"), "near-live")
-    asked = groups.join(live.select("id").distinct(), "id").select("id", "first.rid", "first.tie")
+    tried = stored(alike_pairs(groups).unionByName(centre_pairs(live, similarity)).distinct(), "near-candidates")
+    met = live.select("id").unionByName(tried.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    asked = groups.join(met, "id").select("id", "first.rid", "first.tie")
     texts = stored(rows.mapInArrow(squeezed, "rid long, tie long, z binary").join(asked, ["rid", "tie"]).dropDuplicates(["id"]).select("id", "z"), "near-texts")
-    tried = stored(centre_pairs(live, similarity), "near-candidates")
     links = stored(verified(tried, texts, shingle, similarity), "near-links")
     found = connected(links, "near-copies")
     rest = stored(other_pairs(live, found, similarity).join(tried, ["a", "b"], "left_anti"), "near-candidates")

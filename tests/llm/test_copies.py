@@ -131,6 +131,19 @@ def test_all_copies_of_a_hub_are_found(spark):
     assert kept == [0, 2001]
 
 
+def test_near_copies_come_by_the_pigeonhole_search(spark):
+    base = [prose(900 + k, 600) for k in range(8)]
+    near = [t.replace(t.split()[100], "changed", 1) for t in base]
+    fps = [simhash.most_set(simhash.shingle_hashes(t, 5)) for t in base + near]
+    alike = [k for k in range(8) if (fps[k] ^ fps[k + 8]).bit_count() <= simhash.DISTANCE]
+    assert len(alike) >= 3
+    rows = docs(spark, base + near + [base[0].upper()]).selectExpr("doc_id AS rid", "0L AS tie", "text")
+    groups = simhash._groups(rows, 5)
+    at = {r.id: r.first.rid for r in groups.select("id", "first").collect()}
+    found = {tuple(sorted((at[r.a], at[r.b]))) for r in simhash.alike_pairs(groups).collect()}
+    assert found >= {(k, k + 8) for k in alike} and all((fps[a] ^ fps[b]).bit_count() <= simhash.DISTANCE for a, b in found)
+
+
 @pytest.mark.parametrize("group", [1000, 2])
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_repeats(spark, keep, group):
