@@ -197,6 +197,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PARTS, PART = 96, 8  # partitions of a sketch and symbols in each: a pair at similarity 0.8 is missed with probability (1 - 0.8 ** 8) ** 96 < 3e-8
 SIGNS, MAX_APART = 256, 60  # one bit of so many symbols; at similarity 0.8 as many as 26 differ on average, more than 60 with probability under 1e-10
+CROWD = 16  # where more texts share a key, those not joined yet are told apart by what sets them off from one text, not pair by pair
 _DRAW = np.random.default_rng(20_240_229)
 _TIMES = _DRAW.integers(0, 1 << 32, (PARTS * PART, 1), dtype=np.uint32) | np.uint32(1)
 _PLUS = _DRAW.integers(0, 1 << 32, (PARTS * PART, 1), dtype=np.uint32)
@@ -309,17 +310,89 @@ def centre_pairs(live: DataFrame, similarity: float) -> DataFrame:
     return _pairs(rows.join(centre, "s").where((F.col("x.id") != F.col("m.id")) & _may_be_near("x", "m", similarity)), "x", "m")
 
 
-def other_pairs(live: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b): all pairs that share a key of live and are not in one component of found (node, component) yet."""
-    rows = live.join(found, live["id"] == found["node"], "left").select("s", "id", "n", "signs", F.coalesce("component", "id").alias("component"))
-    sizes = rows.groupBy("s", "component").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("s").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("s", F.col("m.component").alias("main"))
-    rows = stored(rows.join(mixed, "s").select("s", "main", F.struct("id", "n", "signs", "component").alias("x")), "near-mixed")
+def mixed_keys(live: DataFrame, found: DataFrame) -> DataFrame:
+    """s, c, main (its largest component) and x (id, n, signs, component) of the keys whose texts are not in one component of found (node, component) yet."""
+    rows = live.join(found, live["id"] == found["node"], "left").select("s", "c", "id", "n", "signs", F.coalesce("component", "id").alias("component"))
+    sizes = rows.groupBy("s", "component").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("s").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("s", F.col("m.component").alias("main"))
+    return stored(rows.join(mixed, "s").select("s", "c", "main", F.struct("id", "n", "signs", "component").alias("x")), "near-mixed")
+
+
+def other_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b): all pairs that share a key of mixed that has no more than CROWD texts, and are not in one component yet."""
+    rows = mixed.where(F.col("c") <= CROWD).select("s", "main", "x")
     fewer = rows.where("x.component <> main").select("s", F.col("x").alias("y"))
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("x.component") == F.col("main")) | (F.col("x.id") < F.col("y.id")))
     return _pairs(rows.join(fewer, "s").where(apart & _may_be_near("x", "y", similarity)), "x", "y")
 
 
+def residuals(mixed: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """m, x, main, component, nm, n and d for the texts x of mixed's crowded keys: the hashes of the shingles that x and m do not share.
+
+    m stands for the key's largest component (main): its text in most of these keys. nm and n are the shingles of m and x, component is x's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        of = lambda z: shingle_hashes(expand(z.as_py()).decode("utf-8"), shingle)
+        last, hub = None, np.zeros(0, np.uint64)  # rows of one m come together
+        for batch in batches:
+            hubs, sizes, apart = [], [], []
+            for m, z, y in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5)):
+                if m != last:
+                    last, hub = m, of(y)
+                ours = of(z)
+                hubs.append(len(hub))
+                sizes.append(len(ours))
+                apart.append(np.setxor1d(ours, hub, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(hubs, pa.int32()), pa.array(sizes, pa.int32()), pa.array(apart, pa.list_(pa.int64()))], ["m", "x", "main", "component", "nm", "n", "d"]
+            )
+
+    crowded = mixed.where(F.col("c") > CROWD).groupBy("main", "x.id", "x.component").agg(F.count("*").alias("k"))
+    crowded = stored(crowded.select("main", F.col("id").alias("x"), "component", "k"), "near-crowded")
+    hubs = crowded.where("component = main").groupBy("main").agg(F.max(F.struct("k", "x")).alias("h")).select("main", F.col("h.x").alias("m"))
+    met = crowded.join(hubs, "main").where("x <> m").select("m", "x", "main", "component")
+    met = met.join(texts.select(F.col("id").alias("x"), "z"), "x").join(texts.select(F.col("id").alias("m"), F.col("z").alias("y")), "m")
+    schema = "m long, x long, main long, component long, nm int, n int, d array<long>"
+    return stored(met.select("m", "x", "main", "component", "z", "y").mapInArrow(run, schema), "near-residuals")
+
+
+def residual_pairs(apart: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(links, candidates), each (a, b), that join components over the rows of residuals: no pair at the similarity is missing.
+
+    With r = (1 - similarity) / (1 + similarity), texts x and y are alike if no more than r (n_x + n_y) shingles are in one only. These are the hashes in one
+    of d_x and d_y only, so at least h_x + h_y are in both, where h = (|d| - r n) / 2. If x is alike to m, that is a link. Two such texts need no
+    other; where x is not, h_x > r nm / 2, and h_y >= -r nm / 2 for any y: the pair has hashes in common, o of them, and by the pigeonhole principle one
+    among the first |d| - o + 1 of both in any order. The order goes from the rarest for m, so that what few texts have in common decides.
+    Rows meet by the class of h_x too (powers of 2), of which y's row tells the largest that its place allows.
+    """
+    r = (1 - similarity) / (1 + similarity)
+    both = (F.col("n") + F.col("nm") - F.size("d")) / 2
+    alike = both >= similarity * (F.col("n") + F.col("nm") - both) - 1e-9
+    rows = apart.select("m", "x", "main", "component", "n", F.size("d").alias("size"), (~alike).alias("far"), ((F.size("d") - r * F.col("n")) / 2).alias("h"), (F.col("nm") * (r / 2)).alias("low"), "d")
+    direct = rows.where("NOT far AND component <> main").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b"))
+    each = rows.select("m", "x", "component", "n", "size", "far", "h", "low", F.explode("d").alias("t"))
+    often = each.groupBy("m", "t").agg(F.count("*").alias("f")).where("f > 1")
+    own = ["m", "x", "component", "n", "size", "far", "h", "low"]
+    ranked = each.join(often, ["m", "t"]).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("l"))
+    placed = ranked.select(*own, F.size("l").alias("k"), F.posexplode("l").alias("at", "v")).select(*own, F.col("v.t").alias("t"), (F.col("size") - F.col("k") + F.col("at")).alias("at"))
+    placed = stored(placed, "near-placed")  # hashes that no other text has come first, and need no row
+    needed = lambda h: F.greatest(F.lit(1), F.ceil(h - 1e-6))
+    kind = lambda h: F.floor(F.log2(1 + F.greatest(F.lit(0.0), h))).cast("int")
+    asks = placed.where(F.col("far") & (F.col("at") <= F.col("size") - needed(F.col("h") - F.col("low"))))
+    asks = asks.select("m", "t", kind(F.col("h") - F.col("low")).alias("kind"), F.struct("x", "component", "n", "size", "h", "at").alias("p"))
+    held = placed.where(F.col("at") <= F.col("size") - needed(F.col("h") + F.col("low")))
+    most = kind(F.col("size") - F.col("at") - F.col("h") - F.col("low") + 1e-6)
+    held = held.select("m", "t", F.explode(F.sequence(F.lit(0), most)).alias("kind"), F.struct("x", "component", "n", "size", "h", "at", "far").alias("q"))
+    shared = needed(F.col("p.h") + F.col("q.h"))
+    ok = (F.col("p.component") != F.col("q.component")) & (~F.col("q.far") | (F.col("p.x") < F.col("q.x")))
+    ok &= (F.col("p.at") <= F.col("p.size") - shared) & (F.col("q.at") <= F.col("q.size") - shared)
+    ok &= F.least("p.n", "q.n") >= F.greatest("p.n", "q.n") * similarity - 1e-6
+    found = asks.join(held, ["m", "t", "kind"]).where(ok).select(F.least("p.x", "q.x").alias("a"), F.greatest("p.x", "q.x").alias("b"))
+    return direct, found
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts (id, z: compressed) have word shingles of this Jaccard similarity or more."""
 
@@ -355,8 +428,9 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     Texts whose fingerprints (of distinct shingles) are found within DISTANCE by the pigeonhole search are candidates. So many bits do not tell most pairs at a similarity
     like 0.8 from others, so further candidates are sought: texts are sketched by PARTS * PART min-hash symbols in partitions of PART; two sketches that agree in a whole partition make a
     candidate pair (pigeonhole: fewer than PARTS symbols apart they must, further apart they do with the probability told above), unless MAX_APART rules it out.
-    First the fingerprints' candidates are tried, and each key's most shared text is tried against its others, then every pair that shares a key and is
-    not in one group yet, so that a large group is not tried pair by pair. Every candidate is verified on its whole texts;
+    First the fingerprints' candidates and each key's most shared text against its others are tried, then every pair that shares a key of up to CROWD texts and is
+    not in one group yet. Where more share a key, all texts meet one by what they do not share with it (residual_pairs, exact), so that a
+    large group is not tried pair by pair, however its texts differ. Every candidate is verified on its whole texts;
     texts with the same words (ASCII letters lower-cased) are copies.
 
     Nulls, edges: a null text is an empty one, and texts without words are copies of one another; rows alike in all columns leave one;
@@ -378,12 +452,14 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     met = live.select("id").unionByName(tried.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
     asked = groups.join(met, "id").select("id", "first.rid", "first.tie")
     texts = stored(rows.mapInArrow(squeezed, "rid long, tie long, z binary").join(asked, ["rid", "tie"]).dropDuplicates(["id"]).select("id", "z"), "near-texts")
-    links = stored(verified(tried, texts, shingle, similarity), "near-links")
-    found = connected(links, "near-copies")
-    rest = stored(other_pairs(live, found, similarity).join(tried, ["a", "b"], "left_anti"), "near-candidates")
-    more = stored(verified(rest, texts, shingle, similarity), "near-links")
+    near = stored(verified(tried, texts, shingle, similarity), "near-links")
+    found = connected(near, "near-copies")
+    mixed = mixed_keys(live, found)
+    direct, crowded = residual_pairs(residuals(mixed, texts, shingle), similarity)
+    rest = stored(other_pairs(mixed, similarity).unionByName(crowded).distinct().join(tried, ["a", "b"], "left_anti"), "near-candidates")
+    more = stored(verified(rest, texts, shingle, similarity).unionByName(direct), "near-links")
     if not more.isEmpty():
-        found = connected(links.unionByName(more), "near-copies")
+        found = connected(near.unionByName(more), "near-copies")
     label = groups.join(found, groups["id"] == found["node"], "left").select("first", F.coalesce("component", "id").alias("label"))
     kept = label.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("_kept_rid"), F.col("first.tie").alias("_kept_tie"))
     keyed = docs.withColumn("_row_rid", rid).withColumn("_row_tie", tie)

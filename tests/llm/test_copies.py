@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
+import zstandard
 from conftest import ITEMS, edge_texts, prose
 
 from lodestack.llm import decontaminate, simhash, suffix
@@ -144,6 +145,70 @@ def test_near_copies_come_by_the_pigeonhole_search(spark):
     assert found >= {(k, k + 8) for k in alike} and all((fps[a] ^ fps[b]).bit_count() <= simhash.DISTANCE for a, b in found)
 
 
+def near_components(texts):
+    """The least text of each text's component, by trying all pairs."""
+    sets, parent = [simhash.shingle_set(t, 5) for t in texts], list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for k, x in enumerate(sets):
+        for j in range(k):
+            if (both := len(x & sets[j])) >= 0.8 * (len(x) + len(sets[j]) - both) - 1e-9:
+                a, b = sorted((root(k), root(j)))
+                parent[b] = a
+    return [root(k) for k in range(len(texts))]
+
+
+def test_a_large_group_of_edits_is_not_tried_pair_by_pair(spark, monkeypatch):
+    r, words = random.Random(31), prose(96, 3000).split()[:150]
+
+    def edited(words, n):
+        out = list(words)
+        for k in r.sample(range(len(out)), n):
+            out[k] = f"{out[k]}{r.getrandbits(40)}" if r.random() < 0.7 else r.choice(words)
+        return " ".join(out)
+
+    texts = [edited(words, r.choice([1, 2, 3, 5, 7, 8])) for _ in range(500)]
+    for size in (9, 12, 16):  # far from the rest, and near to one another
+        far = edited(words, size).split()
+        texts += [edited(far, r.choice([1, 2])) for _ in range(12)]
+        texts += [" ".join(far[: 150 - cut]) for cut in (3, 20, 45)]
+    texts += [" ".join(words[:-cut] if cut else words) for cut in range(0, 60, 3)]
+    r.shuffle(texts)
+    tried = []
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *a, f=simhash.verified: tried.append(pairs.count()) or f(pairs, *a))
+    kept = sorted(x.doc_id for x in simhash.keep_one_of_each(docs(spark, texts)).collect())
+    want = sorted(set(near_components(texts)))
+    assert kept == want and len(want) > 50
+    assert sum(tried) < 20 * len(texts), tried
+
+
+def test_residual_pairs_miss_none(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 0)
+    r = random.Random(8)
+    hub = [f"h{k}" for k in range(40)]
+    texts = [" ".join(hub)]
+    for _ in range(400):  # of other lengths, cut, joined and edited, with few words to choose from
+        t = hub[r.choice([0, 0, 3, 8]) : r.choice([40, 40, 36, 30])] + [f"t{k}" for k in range(r.choice([0, 0, 2, 5, 9]))]
+        for _ in range(r.choice([0, 1, 2, 3])):
+            t[r.randrange(len(t))] = f"e{r.randrange(3)}"
+        texts.append(" ".join(t))
+    texts = list(dict.fromkeys(texts))
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    mixed = spark.createDataFrame([(0, len(texts), 0, (k, len(s), None, k)) for k, s in enumerate(sets)], "s long, c long, main long, x struct<id: long, n: int, signs: string, component: long>")
+    packed = spark.createDataFrame([(k, bytearray(zstandard.compress(t.encode()))) for k, t in enumerate(texts)], "id long, z binary")
+    direct, found = simhash.residual_pairs(simhash.residuals(mixed, packed, 5), 0.8)
+    links, pairs = ({(x.a, x.b) for x in df.collect()} for df in (direct, found))
+    alike = {(a, b) for b in range(len(texts)) for a in range(b) if (n := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9}
+    near = {b for a, b in alike if a == 0}
+    assert links == {(0, b) for b in near}
+    needed = {(a, b) for a, b in alike if a and not {a, b} <= near}
+    assert needed <= pairs and len(needed) > 100
+
+
 @pytest.mark.parametrize("group", [1000, 2])
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_repeats(spark, keep, group):
