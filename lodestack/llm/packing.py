@@ -102,7 +102,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer_path).encode
+        memo = encoder(tokenizer_path)
         end = int(end_id).to_bytes(ID.itemsize, "little")
         packer, sequence = HarmonicPacker(capacity, classes), TaskContext.get().partitionId() << 40
         open_docs: dict[int, list] = {}  # number: [doc_id, ids in all, ids not yet in a sequence]
@@ -128,13 +128,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: i
             return out
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), memo.encode(t.as_py() for t in batch.column(1))):
                 ids += end
                 open_docs[number] = [doc_id, len(ids) // ID.itemsize, len(ids) // ID.itemsize]
                 take(packer.add(number, ids))
                 number += 1
                 if len(rows) >= 20_000:
                     yield table()
+        memo.forget()
         take(packer.finish())
         if rows:
             yield table()

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import filterfalse
 
@@ -54,9 +54,14 @@ class MemoEncoder:
         self.tokenize, self.space = self.tokenizer.model.tokenize, ""
         if self.spaced:
             self.space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
-        self.known: dict[str, bytes] = {"": b""}  # by chunk, without the space before it
+        self.known: dict[str, bytes]  # by chunk, without the space before it
+        self.forget()
         self.marks = dict(zip(".,", self._library([".", ","])))
 
+    def forget(self) -> None:
+        """Frees the remembered chunks: a worker may outlive its task by many, of other steps too."""
+        self.known = {"": b""}
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.small, f.ids).tobytes() for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -92,7 +97,7 @@ class MemoEncoder:
 
     def _bulk(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) >= self.max_entries:
-            self.known = {"": b""}
+            self.forget()
         split = [self._chunks(t) for t in texts]
         missing: set[str] = set()
         for _, chunks in split:
@@ -104,7 +109,7 @@ class MemoEncoder:
             ids = first + b"".join(map(ids_of, chunks))
             yield ids if self.small == "I" else np.frombuffer(ids, "<u2").astype(ID).tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         held, size = [], 0
         for text in texts:
             held.append(text)

@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from conftest import ITEMS, edge_texts, prose
@@ -209,6 +210,25 @@ def test_residual_pairs_miss_none(spark, monkeypatch):
     assert needed <= pairs and len(needed) > 100
 
 
+def test_near_copies_take_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, most = spark.conf.get(key), []
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    def seen(rows, *a, f=simhash._groups):
+        most.append(rows.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0])
+        return f(rows, *a)
+
+    monkeypatch.setattr(simhash, "_groups", seen)
+    texts = [" ".join([f"w{k}"] * 100_000) for k in range(40)]
+    rows = docs(spark, texts).repartition(1)
+    assert simhash.keep_one_of_each(rows).count() == 40
+    assert 0 < most[0] < 6 << 20 and sum(map(len, texts)) > 12 << 20 and spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("group", [1000, 2])
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_repeats(spark, keep, group):

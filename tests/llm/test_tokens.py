@@ -6,6 +6,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import CHATS, edge_rows, prose
 from tokenizers import Tokenizer
@@ -47,6 +48,21 @@ def test_white_space_and_odd_letters(name):
     check_encoder(name, texts + ["".join(r.choices(letters, k=r.randint(0, 14))) for _ in range(4000)])
 
 
+def test_a_packing_task_leaves_no_memo_in_its_worker(spark, tmp_path):
+    path = default_path("word_bpe_49k.json")
+
+    def held(batches):
+        import os
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([len(e.known) if (e := tokens._ENCODERS.get(path)) else -1])], ["pid", "n"])
+
+    docs = spark.createDataFrame([(k, prose(k, 300)) for k in range(8)], "doc_id long, text string").repartition(4)
+    packing.pack(docs, path).write.parquet(f"{tmp_path}/packed")
+    left = {r.pid: r.n for r in spark.range(8).repartition(8).mapInArrow(held, "pid long, n long").collect()}
+    assert set(left.values()) - {-1} == {1}  # the empty chunk alone; -1: a worker that packed nothing
+
+
 def check_packed(rows):
     by_doc, by_sequence = {}, {}
     for r in rows:
