@@ -48,6 +48,45 @@ def test_white_space_and_odd_letters(name):
     check_encoder(name, texts + ["".join(r.choices(letters, k=r.randint(0, 14))) for _ in range(4000)])
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_of_words_marks_and_line_ends(name, monkeypatch):
+    heads, tails = ["", "\n", "\n\n", "x.\n"], ["", ".", ",", "'", "'s", "***", "$$$", "!?", "_", "(a)", "\n"]
+    words = ["", "Word", "naïve", "Ünï", "İstanbul", "ŉa", "Σίσυφος", "ΣΑΣ", "слово", "ªº", "12", "28.68", "a1", "é", "日本", "'s", "--"]
+    chunks = [h + w + t for h in heads for w in words for t in tails]
+    texts = ["a " + " ".join(chunks), *(f"it is {c} so" for c in chunks), *(f"is {c}" for c in chunks), *chunks, *(f"it {a}\n{b} so" for a in words for b in words)]
+    monkeypatch.setattr(tokens, "BULK_CHARS", 300)
+    check_encoder(name, texts)
+    check_encoder(name, texts, max_entries=40)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_letters_are_single_pre_tokens(name):
+    e = MemoEncoder(default_path(name))
+    letters = list(map(chr, e.letters))
+    assert set("azAZéñÜß") <= set(letters)
+    r = random.Random(3)
+    check_encoder(name, [f"a {x}{y}. {y}{x}b" for x, y in itertools.product(letters, "aéΣя")] + [" ".join("".join(r.choices(letters, k=6)) for _ in range(20)) for _ in range(500)])
+
+
+def test_chunks_met_again_are_not_learned_again(monkeypatch):
+    """A full memo drops the chunks not met for long, and keeps those that go on being met. What it holds stays bounded."""
+    monkeypatch.setattr(tokens, "BULK_CHARS", 1)
+    e = MemoEncoder(default_path("byte_bpe_50k.json"), max_entries=100)
+    learned, word = [], e._word
+    e._word = lambda w, space: learned.append(w) or word(w, space)
+    r = random.Random(5)
+    for _ in e.encode("a common " + " ".join("".join(r.choices("abcdefgh", k=9)) for _ in range(20)) for _ in range(100)):
+        assert len(e.known) + len(e.older) <= 100 + 2 * 22
+    assert len(learned) > 1900 and learned.count("common") == 1
+
+
+def test_line_ends_share_their_words():
+    """A line's end between two words is a cut, so that its two words are remembered apart."""
+    e = MemoEncoder(default_path("byte_bpe_50k.json"))
+    list(e.encode("it is " + " ".join(f"{a}.\n{b}" for a in ("so", "not", "here") for b in ("Then", "Now", "We")) for _ in range(2)))
+    assert set(e.known) == {"", "is", "so.", "not.", "here.", "\nThen", "\nNow", "\nWe"}
+
+
 def test_a_packing_task_leaves_no_memo_in_its_worker(spark, tmp_path):
     path = default_path("word_bpe_49k.json")
 
